@@ -1 +1 @@
-
+"""Operators on regions, intervals, cells and rows."""

@@ -1 +1 @@
-
+"""Logical plans: layouts of bins and the matrix."""

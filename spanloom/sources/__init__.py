@@ -1 +1 @@
-
+"""Readers of regions, signal and written matrices."""
