@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.shipping import ship
+
 MINUTE = {"spark": "CAST(timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS bigint)", "duckdb": "CAST(floor((epoch_us(ts) - 1704067200000000) / 60000000) AS bigint)"}
 
 SIGNAL = """
@@ -46,6 +48,7 @@ def sql(name: str, engine: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    ship(spark)
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
