@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import decontamination, langid, line_dedup, mixing, pii, quality_rules, simhash, substring_dedup, token_counts, url_filters
 from spanloom.llm.sql import ORACLE_SQL
+from spanloom.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

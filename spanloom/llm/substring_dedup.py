@@ -32,7 +32,7 @@ from xxhash import xxh3_128_digest
 from spanloom.llm.common import doc_texts, slices, utf8
 
 MIN_CHUNK, MEAN_TAIL, MAX_CHUNK = 16, 24, 128
-MIN_CHARS = 80
+MIN_CHARS = 100
 GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256, dtype=np.uint16)
 WINDOW = 16
 
