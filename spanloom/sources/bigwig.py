@@ -12,7 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -156,11 +156,12 @@ class Wanted:
         return True
 
 
-@dataclass
 class BlockRun(InputPartition):
     """Consecutive blocks that one task reads."""
 
-    blocks: list[Block] = field(default_factory=list)
+    def __init__(self, number: int):
+        super().__init__(number)
+        self.blocks: list[Block] = []
 
 
 class BigWigReader(DataSourceReader):
@@ -180,7 +181,6 @@ class BigWigReader(DataSourceReader):
         w, ranges = self.wanted, None
         if w.chroms is not None or w.start_below is not None or w.end_above is not None:
             ranges = {c.number: (w.end_above if w.end_above is not None else 0, w.start_below if w.start_below is not None else c.length) for c in file.chroms if w.chroms is None or c.name in w.chroms}
-        self.names = {c.number: c.name for c in file.chroms}
         runs, size = [BlockRun(0)], 0
         for b in file.blocks(ranges):
             if size and size + b.size > self.run_bytes:
