@@ -4,10 +4,11 @@ Texts are read as tokens: runs of ASCII letters and digits (A-Z lower-cased) and
 characters. Each fixed mask picks some token positions of a window and ignores the rest, so that a
 window still hashes alike after a substitution at an ignored place. Hashes of all benchmark windows
 and of all training windows are joined; each hit fixes an alignment of a benchmark item with a
-document, and the aligned tokens around it are compared exactly: the best-scoring segment (+1 for an
-equal token, minus `penalty` for another) counts as an overlap if it has at least
-min(`min_tokens`, tokens of the item) tokens, of which `similarity` or more are equal. An item shorter than the masks is
-looked up as one whole sequence. Tokens are compared by 64-bit hashes.
+document, and the aligned tokens around it are compared exactly. It is an overlap if the whole item lies in the document
+with `similarity` or more of its tokens equal; else if the best-scoring segment (+1 for an equal
+token, minus `penalty` for another) has at least min(`min_tokens`, tokens of the item) tokens, of which
+`similarity` or more are equal. An item shorter than the masks is looked up as one whole sequence; one
+of fewer than `MIN_ITEM` tokens says too little to match anything. Tokens are compared by 64-bit hashes.
 
 Scale. The documents are read once per block of the benchmark and never shuffled. The hash join is a
 map-side join against one block at a time; a block holds at most about `block_bytes` of benchmark
@@ -34,6 +35,7 @@ from spanloom.llm.common import doc_texts, slices, utf8
 #: Positions that count, of a window of ten tokens; every position is ignored by some mask.
 MASKS = ("1101100111", "1110011011", "1011111100", "0111101101")
 MIN_TOKENS, SIMILARITY, PENALTY = 13, 0.8, 3
+MIN_ITEM = 5
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, start int, end int, n_tokens int, n_equal int, item_tokens int"
 
@@ -113,7 +115,7 @@ class Block:
         tok = tokens(data, offsets)
         self.ids = [i for i, _ in texts]
         self.items = [tok.hashes[a:b] for a, b in zip(tok.first, tok.first[1:], strict=False)] if len(tok.hashes) else []
-        self.masks = _masks({len(x) for x in self.items})
+        self.masks = _masks({len(x) for x in self.items if len(x) >= MIN_ITEM})
         found = []
         for m, mask in enumerate(self.masks):
             for k, item in enumerate(self.items):
@@ -150,7 +152,7 @@ def best_segment(equal: np.ndarray, penalty: int) -> tuple[int, int, int]:
     score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -penalty))])
     low = np.minimum.accumulate(score)
     end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
+    start = int(np.flatnonzero(score[: end + 1] == low[end])[0])
     return start, end, int(equal[start:end].sum())
 
 
@@ -161,7 +163,10 @@ def overlaps(block: Block, data: np.ndarray, offsets: np.ndarray, min_tokens: in
     for row, k, diagonal in block.hits(tok).tolist():
         item, first, last = block.items[k], int(tok.first[row]), int(tok.first[row + 1])
         a, b = max(first, diagonal), min(last, diagonal + len(item))
-        start, end, equal = best_segment(tok.hashes[a:b] == item[a - diagonal : b - diagonal], penalty)
+        same = tok.hashes[a:b] == item[a - diagonal : b - diagonal]
+        start, end, equal = best_segment(same, penalty)
+        if b - a == len(item) and same.sum() >= similarity * len(item):
+            start, end, equal = 0, len(item), int(same.sum())
         n = end - start
         if n < min(min_tokens, len(item)) or equal < similarity * n:
             continue

@@ -108,7 +108,9 @@ class LineRuns:
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(_sl_drop_id, _sl_dropped): for each document that loses lines, the hashes h1, h2 of their keys."""
     keys = kept_table(line_keys(docs, min_chars), "line-keys")
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("long").alias("doc_id")).na.drop().approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)), reverse=True)
+    shares = [k / batches for k in range(1, batches)]
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).na.drop()
+    cuts = sorted(set(ids.approxQuantile("doc_id", shares, 0.01)), reverse=True) if shares else []
     bounds = [None, *(int(c) for c in cuts), None]
     runs = LineRuns(docs.sparkSession, fanout)
     for above, below in zip(bounds[1:], bounds, strict=False):
@@ -132,7 +134,7 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """
     min_chars = how.get("min_chars", MIN_CHARS)
     marked = docs.join(dropped_keys(docs, **how), F.col("doc_id").cast("long").eqNullSafe(F.col("_sl_drop_id")), "left").drop("_sl_drop_id")
-    schema = docs.withColumns({"_sl_n_lines": F.lit(0).cast("long"), "_sl_n_dropped": F.lit(0).cast("long"), "_sl_kept": F.lit("")}).schema
+    schema = docs.withColumns({"_sl_n_lines": F.lit(0).cast("long"), "_sl_n_dropped": F.lit(0).cast("long"), "_sl_kept": F.lit(None).cast("string")}).schema
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

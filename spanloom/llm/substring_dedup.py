@@ -14,8 +14,8 @@ for each task; only digests that occur more than once meet the chunks again, in
 hot keys adaptive execution splits. Runs are formed within a document. Chunks are computed twice
 rather than written.
 
-Results for odd input: null and empty texts have no chunks; rows with the same doc_id are one document;
-a null doc_id counts as the largest; an empty table gives no rows; other columns are ignored
+Results for odd input: null and empty texts have no chunks; rows with the same doc_id are one document
+(spans of each are reported under it); a null doc_id counts as the largest; an empty table gives no rows; other columns are ignored
 (drop_repeats: passed through).
 """
 
@@ -143,9 +143,14 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def drop_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the texts that are left; the other columns as they were."""
-    spans = repeated_spans(docs, min_chars).groupBy(F.col("doc_id").alias("_sl_id")).agg(F.collect_list(F.struct("start", "end")).alias("_sl_spans"))
-    marked = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_sl_id")), "left").drop("_sl_id")
+    """docs with the texts that are left; the other columns as they were.
+
+    A document without doc_id, or whose doc_id has several texts, can't be told from others and keeps its text.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = doc_texts(docs).groupBy(F.col("doc_id").alias("_sl_id")).agg((F.min(key) == F.max(key)).alias("_sl_one")).filter("_sl_one").drop("_sl_one")
+    spans = repeated_spans(docs, min_chars).join(named, F.col("doc_id") == F.col("_sl_id")).groupBy("_sl_id").agg(F.collect_list(F.struct("start", "end")).alias("_sl_spans"))
+    marked = docs.join(spans, F.col("doc_id").cast("long") == F.col("_sl_id"), "left").drop("_sl_id")
     text_at, schema = docs.columns.index("text"), docs.withColumn("text", F.col("text").cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
