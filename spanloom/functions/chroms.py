@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def normal_chrom(chrom: Column) -> Column:
     """The name without a leading `chr`; the mitochondrion is MT."""
-    bare = F.regexp_replace(chrom, "^chr", "")
+    bare = F.when(F.startswith(chrom, F.lit("chr")), F.substring(chrom, 4, 2**31 - 1)).otherwise(chrom)
     return F.when(bare == "M", "MT").otherwise(bare)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of the tiles on which intervals meet; a few times the usual length of a bin.
-TILE = 256
+#: Width of the tiles on which intervals meet; a few times the usual length of a bin or of a signal's interval.
+TILE = 64
 
 
 def islands(intervals: DataFrame, keys: list[str], gap: Column | int = 0) -> DataFrame:
@@ -50,8 +50,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = TILE)
     place, not by key alone, and adaptive execution splits a crowded tile. A pair that shares several
     tiles is kept in the one where its overlap starts.
     """
-    a = left.withColumn("tile", F.explode(tiles(F.col("l_start"), F.col("l_end"), width)))
-    b = right.withColumn("tile", F.explode(tiles(F.col("r_start"), F.col("r_end"), width)))
+    a = left.withColumn("tile", F.explode_outer(tiles(F.col("l_start"), F.col("l_end"), width)))
+    b = right.withColumn("tile", F.explode_outer(tiles(F.col("r_start"), F.col("r_end"), width)))
     begin = F.greatest("l_start", "r_start")
     meets = (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")) & (F.floor(begin / width) == F.col("tile"))
     return a.join(b, [key, "tile"]).filter(meets).drop("tile")

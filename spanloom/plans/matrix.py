@@ -38,12 +38,16 @@ def _counted_pieces(bins: DataFrame, metagene: bool) -> DataFrame:
 
 
 def cells(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int = TILE) -> DataFrame:
-    planned = with_bins(regions.withColumn("norm", normal_chrom(F.col("chrom"))), layout, general)
+    # A region becomes hundreds of rows: deal the regions out first, however few files they came in.
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = regions.select("region_id", "chrom", "start", "end", "strand", "exons").repartition(parts, "region_id")
+    planned = with_bins(dealt.withColumn("norm", normal_chrom(F.col("chrom"))), layout, general)
     carried = ["region_id", "norm", "too_short", *(["included"] if general.metagene else [])]
-    bins = planned.select(*carried, F.explode("bins").alias("b")).select(*carried, "b.bin", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"), "b.beyond")
+    # Every layout has bins; the outer form keeps Spark from laying them out once more to see whether there are any.
+    bins = planned.select(*carried, F.explode_outer("bins").alias("b")).select(*carried, "b.bin", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"), "b.beyond")
 
     pieces = _counted_pieces(bins.filter(~F.col("too_short")), general.metagene)
-    tile = max(tile, 1 << max(0, general.bin_size - 1).bit_length())
+    tile = max(tile, 2 << max(0, general.bin_size - 1).bit_length())
     met = overlap_join(pieces, clean_signal(signal), "norm", tile)
     width = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
     nothing = {"counted": F.lit(None).cast("long"), "masked": F.lit(None).cast("boolean")}
