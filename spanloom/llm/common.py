@@ -88,3 +88,27 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 def doc_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, typed; whatever other columns there are stay out of the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+#: A key with more than a HOT-th of all rows is joined by broadcast; there can't be more than HOT such keys.
+HOT = 20_000
+
+
+def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, total: int) -> DataFrame:
+    """Inner join on long keys that holds up where a few keys have most rows of left.
+
+    right has each key once, and in n how many rows of left have it; total is the sum of n. Keys with more
+    than total / HOT rows, at most HOT of them, are matched by broadcast; their rows are dealt by
+    `spread` (a long) among those that meet the rest of right in a shuffle.
+    """
+    others = [c for c in right.columns if c not in (*keys, "n")]
+    most = total / HOT
+    hot = right.filter(F.col("n") > most).drop("n").withColumn("_sl_hot", F.lit(True)).withColumnsRenamed({c: f"_sl_hot_{c}" for c in others})
+    cold = right.filter(F.col("n") <= most).drop("n").withColumn("_sl_cold", F.lit(True)).withColumnsRenamed({c: f"_sl_cold_{c}" for c in (*keys, *others)})
+    first = left.join(F.broadcast(hot), keys, "left").withColumn("_sl_at", F.when(F.col("_sl_hot"), spread).otherwise(F.col(keys[0])))
+    on = (F.col("_sl_at") == F.col(f"_sl_cold_{keys[0]}")) & F.col("_sl_hot").isNull()
+    for k in keys[1:]:
+        on = on & (F.col(k) == F.col(f"_sl_cold_{k}"))
+    found = first.join(cold, on, "left").filter(F.col("_sl_hot") | F.col("_sl_cold"))
+    picked = [F.when(F.col("_sl_hot"), F.col(f"_sl_hot_{c}")).otherwise(F.col(f"_sl_cold_{c}")).alias(c) for c in others]
+    return found.select(*[F.col(f"`{c}`") for c in left.columns], *picked)

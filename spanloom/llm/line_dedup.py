@@ -12,7 +12,7 @@ a key holds its largest doc_id.
 
 Scale. Only 16-byte hashes, counts and ids are shuffled for the decision; counts are combined
 before the shuffle, and (key, document) pairs are made distinct first, so that a line of a third of all documents stays
-spread. Texts meet their documents' lists of dropped keys by doc_id once.
+spread; lines of a large share of documents meet their keeper by broadcast. Texts meet their documents' lists of dropped keys by doc_id once.
 
 Results for odd input: a null or empty text is one empty line, which is kept; rows of the same doc_id
 are one document; a null doc_id is the smallest document, and its rows count as one; an empty table gives an
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from spanloom.llm.common import SPACE_BYTES, doc_texts, drop_path, kept_table, new_path
+from spanloom.llm.common import SPACE_BYTES, doc_texts, drop_path, join_by_key, kept_table, new_path
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 
@@ -116,8 +116,9 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     for above, below in zip(bounds[1:], bounds, strict=False):
         part = keys if below is None else keys.filter(F.col("doc_id").isNull() | (F.col("doc_id") < below))
         runs.add(part if above is None else part.filter(F.col("doc_id") >= above))
-    common = runs.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    lost = keys.join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    common = kept_table(runs.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper", F.col("n_docs").alias("n")), "common-lines")
+    met = join_by_key(keys, common, ["h1", "h2"], F.xxhash64("doc_id"), keys.count())
+    lost = met.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy(F.col("doc_id").alias("_sl_drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_sl_dropped"))
 
 
