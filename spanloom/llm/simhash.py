@@ -14,7 +14,8 @@ no pair is missed, and a pair meets exactly once (at the home of its smaller mem
 Scale. The replicas per fingerprint are a constant (about 120 for threshold 2), there are 2**36
 anchors, and copies were folded to distinct fingerprints before. A home compares with distinct
 fingerprints only and can have at most 1+64+2016 partners, so the links are linear in the input.
-The anchor join is an equi-join that adaptive execution splits where an anchor is crowded.
+The anchor join is an equi-join that adaptive execution splits where an anchor is crowded; classes
+go back to the documents by a join in which fingerprints with many copies are broadcast.
 
 Results for odd input: a null or wordless text has fingerprint zero and links like any other; fewer
 words than a shingle hash as one sequence; repeated rows share a fingerprint and so a class; a class
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from spanloom.llm.common import doc_texts, kept_table
+from spanloom.llm.common import doc_texts, join_by_key, kept_table
 from spanloom.llm.components import star_components
 
 SEED = 42
@@ -162,17 +163,18 @@ def simhash_classes(docs: DataFrame, threshold: int = 2, width: int = 3) -> Data
     """
     rows = kept_table(fingerprints(docs, width), "simhash")
     first = F.min(F.struct("doc_id", "text_key"))
-    folded = kept_table(rows.groupBy("fp").agg(first.alias("first"), F.min("doc_id").alias("low")), "simhash-distinct")
+    folded = kept_table(rows.groupBy("fp").agg(first.alias("first"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     roots = star_components(links(folded, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     near = roots.join(folded, roots.node == folded.fp)
     least = near.groupBy("root").agg(F.min("first").alias("first"), F.min("low").alias("low"))
     joined = near.select("fp", "root").join(least, "root").select("fp", F.col("first").alias("near_first"), F.col("low").alias("near_low"))
     classes = folded.join(joined, "fp", "left").select(
         "fp",
+        "n",
         F.coalesce("near_first", "first").alias("first"),
         F.coalesce("near_low", "low").alias("component_id"),
     )
-    out = rows.join(classes, "fp")
+    out = join_by_key(rows, kept_table(classes, "simhash-classes"), ["fp"], F.xxhash64("doc_id", "text_key"), rows.count())
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     return out.select("doc_id", "text_key", "fp", "component_id", same.alias("keeper"))
 
