@@ -12,8 +12,8 @@ language, those with the smallest hashes, a fifth of which serve for the calibra
 uses the text alone.
 
 Scale. Three passes over the texts in numpy, none of which shuffles them: frequencies (summed by
-place, at most DIMENSIONS rows for each task), the bounded sample (a top-k by language that each task
-cuts first), and prediction. The model is a table of DIMENSIONS times languages.
+place, at most DIMENSIONS rows for each task), the bounded sample (a filter by the counts of the
+languages leaves about four times as many rows to put in order), and prediction. The model is a table of DIMENSIONS times languages.
 
 Results for odd input: a null text or one without letters is `und` with score 0; a null lang
 is not learned from; a null doc_id counts as held out; with one language alone it is predicted with
@@ -173,9 +173,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
     rows = labelled(docs)
     n, df = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1.0) * (df > 0)
-    names = rows.select("lang", "doc_id", F.xxhash64("text").alias("key"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "key")
-    chosen = kept_table(names.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language), "sample")
+    drawn = rows.select("lang", "doc_id", F.xxhash64("text").alias("key"), F.xxhash64("doc_id", F.lit(9)).alias("draw"))
+    # Draws are uniform: the smallest `per_language` lie within four times their share, and only those are put in order.
+    sizes = kept_table(drawn.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share")), "languages")
+    near = F.col("draw") / F.lit(2.0**64) + 0.5 < F.col("share")
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "key")
+    chosen = kept_table(drawn.join(sizes, "lang").filter(near).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language), "sample")
     # Repeated rows draw one number each; only their first counts.
     chosen = chosen.groupBy("doc_id", "key", "lang").agg(F.min("k").alias("k"))
     texts = rows.withColumn("key", F.xxhash64("text")).join(chosen, ["doc_id", "key", "lang"]).dropDuplicates(["k", "lang"])
