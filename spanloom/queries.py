@@ -108,8 +108,8 @@ def sample_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def common_chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "events")
-    chroms = spark.sql("SELECT CAST(user_id % 7 AS int) AS sample_idx, concat('chr', CAST(user_id % 40 AS string)) AS chrom, CAST(count(*) AS bigint) AS length FROM events GROUP BY 1, 2")
-    return regions.common_chroms(chroms, 7)
+    chroms = spark.sql("SELECT CAST(user_id % 3 AS int) AS sample_idx, concat('chr', CAST(user_id % 70 AS string)) AS chrom, CAST(count(*) AS bigint) AS length FROM events GROUP BY 1, 2")
+    return regions.common_chroms(chroms, 3)
 
 
 def chrom_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def exons_from_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.element_at("exons", -1)["end"]
     line = F.concat_ws("\t", "chrom", low.cast("string"), end.cast("string"), F.col("region_id").cast("string"), F.lit("0"), "strand", low.cast("string"), end.cast("string"), F.lit("0"), F.size("exons").cast("string"), F.concat(sizes, F.lit(",")), starts)
     parsed = parse_bed(found.select(F.col("region_id").alias("line_no"), line.alias("line")))
-    return parsed.select(F.col("line_no").alias("region_id"), F.posexplode("exons").alias("k", "x")).select("region_id", "k", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    return parsed.select(F.col("line_no").alias("region_id"), F.posexplode_outer("exons").alias("k", "x")).select("region_id", "k", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
 def bed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +319,7 @@ def _other_queries() -> dict[str, tuple[Query, str | None]]:
     sizes = "sizes AS (SELECT chrom AS norm, min_by(length, sample_idx) AS length FROM chr GROUP BY chrom)"
     return {
         "sample_boundaries": (sample_boundaries, "SELECT CAST(k AS INTEGER) AS k, CAST(k * 6 AS INTEGER) AS boundary FROM (SELECT unnest(range(4)) AS k)"),
-        "common_chroms": (common_chroms, "SELECT CAST(user_id % 40 AS VARCHAR) AS norm FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 7) = 7"),
+        "common_chroms": (common_chroms, "SELECT CAST(user_id % 70 AS VARCHAR) AS norm FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 3) = 3"),
         "chrom_alias_join": (
             chrom_aliases,
             "SELECT c_custkey AS region_id, CASE WHEN n_regionkey = 2 THEN CASE WHEN c_custkey % 2 = 0 THEN 'chr' ELSE '' END WHEN n_nationkey % 3 = 0 THEN 'chr' ELSE '' END || n_name AS chrom FROM customer JOIN nation ON n_nationkey = c_nationkey",

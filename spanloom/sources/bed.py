@@ -38,8 +38,7 @@ def block_exons(start: Column, extra: Column) -> Column:
 
 def parse_bed(lines: DataFrame) -> DataFrame:
     """lines (line, others): the others and the fields of a region; `error` says why a line can't be read."""
-    split = F.when(F.contains("line", F.lit("\t")), F.split("line", "\t")).otherwise(F.split(F.btrim("line"), r"\s+"))
-    cut = F.when((F.size("_f") > 1) & (F.element_at("_f", -1) == ""), F.slice("_f", F.lit(1), F.size("_f") - 1)).otherwise(F.col("_f"))
+    fields = F.when(F.contains("line", F.lit("\t")), F.split(F.regexp_replace("line", "\t$", ""), "\t")).otherwise(F.split(F.btrim("line"), r"\s+"))
     field = lambda k: F.get("_c", F.lit(k))
     n = F.size("_c")
     start, end = field(1).try_cast("bigint"), field(2).try_cast("bigint")
@@ -55,8 +54,7 @@ def parse_bed(lines: DataFrame) -> DataFrame:
     strand = F.when(n >= 6, field(5))
     raw = strand.isNotNull() & ~strand.isin(*STRANDS)
     return (
-        lines.withColumn("_f", split)
-        .withColumn("_c", cut)
+        lines.withColumn("_c", fields)
         .withColumns(
             {
                 "error": error,
@@ -73,7 +71,7 @@ def parse_bed(lines: DataFrame) -> DataFrame:
             }
         )
         .withColumn("exons", block_exons(F.col("start"), F.col("extra_fields")))
-        .drop("_f", "_c", "line")
+        .drop("_c", "line")
     )
 
 
