@@ -144,6 +144,20 @@ def test_rules_and_propagation(spark):
     assert found[1].verdict == found[2].verdict == "block" and found[11].verdict == "block" and found[4].verdict == "allow"
 
 
+def test_propagation_like_sql(spark, tmp_path):
+    from spanloom.llm.queries import op3_url_filters, oracle_sql
+    from tests.duck import assert_same
+
+    rng = random.Random(15)
+    hosts = [f"h{k}.{rng.choice(['com', 'org', 'net', 'example.com'])}" for k in range(25)]
+    link = lambda: f"<a href='http{rng.choice(['', 's'])}://{rng.choice(hosts).upper()}/x'>"
+    rows = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['fr', 'de', 'en'])}/{k}", "".join(link() for _ in range(rng.randrange(4)))) for k in range(120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    verdicts = {r.verdict for r in op3_url_filters(spark, str(tmp_path)).filter("rule IS NULL").collect()}
+    assert verdicts == {"allow", "block"}
+    assert_same(op3_url_filters, oracle_sql()["op3_url_filters"], spark, str(tmp_path))
+
+
 # Mixing
 
 
