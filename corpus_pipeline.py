@@ -12,8 +12,8 @@ from spanloom.llm.common import kept_table
 from spanloom.llm.decontamination import drop_contaminated
 from spanloom.llm.line_dedup import drop_repeated_lines
 from spanloom.llm.mixing import mixed
+from spanloom.llm.near_copies import drop_near_copies
 from spanloom.llm.quality_rules import keep_good
-from spanloom.llm.simhash import drop_near_duplicates
 from spanloom.shipping import ship
 
 
@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,18 +45,23 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 RADIUS = 3
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """SimHash of a text's word shingles (repeats count), each hashed by XXH64; 0 without words."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of every word shingle in order; of the whole sequence where it is shorter than one."""
     tokens = (text or b"").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     if len(tokens) < width:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)], "<u8")
     ends = list(accumulate((len(w) + 1 for w in tokens)))
     starts = [0, *ends[: len(tokens) - width]]
-    hashes = [xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True)]
-    return majority(np.array(hashes, dtype="<u8"))
+    return np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=True)], "<u8")
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """SimHash of a text's word shingles (repeats count), each hashed by XXH64; 0 without words."""
+    hashes = shingle_hashes(text, width)
+    return majority(hashes) if len(hashes) else 0
 
 
 def majority(hashes: np.ndarray) -> int:
