@@ -7,7 +7,9 @@ and of all training windows are joined; each hit fixes an alignment of a benchma
 document, and the aligned tokens around it are compared exactly. It is an overlap if the whole item lies in the document
 with `similarity` or more of its tokens equal; else if the best-scoring segment (+1 for an equal
 token, minus `penalty` for another) has at least min(`min_tokens`, tokens of the item) tokens, of which
-`similarity` or more are equal. An item shorter than the masks is looked up as one whole sequence; one
+`similarity` or more are equal. An item of which e tokens may differ is also cut into e + 1 parts, each looked up
+as it is: wherever the e tokens lie, one part is whole. At the default bounds every best segment has `RUN` equal
+tokens in a row, so all runs of that many are looked up too. An item
 of fewer than `MIN_ITEM` tokens says too little to match anything. Tokens are compared by 64-bit hashes.
 
 Scale. The documents are read once per block of the benchmark and never shuffled. The hash join is a
@@ -36,6 +38,9 @@ from spanloom.llm.common import doc_texts, slices, utf8
 MASKS = ("1101100111", "1110011011", "1011111100", "0111101101")
 MIN_TOKENS, SIMILARITY, PENALTY = 13, 0.8, 3
 MIN_ITEM = 5
+RUN = 4
+#: Alignments compared at once.
+ALIGNMENTS = 1 << 12
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, start int, end int, n_tokens int, n_equal int, item_tokens int"
 
@@ -100,29 +105,33 @@ def window_hashes(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
-def _masks(lengths: set[int]) -> list[str]:
-    """The spaced masks, and a solid one for each length of an item that is shorter than they are."""
-    return [*MASKS, *("1" * n for n in sorted(lengths) if 0 < n < len(MASKS[0]))]
+def parts(n: int, similarity: float) -> list[tuple[int, int]]:
+    """Ranges of an item of n tokens, one more than the tokens that may differ."""
+    least = next(k for k in range(n + 1) if k >= similarity * n)
+    cuts = np.linspace(0, n, min(n, n - least + 1) + 1).astype(int).tolist()
+    return list(zip(cuts, cuts[1:], strict=False))
 
 
 class Block:
     """The windows of a bounded part of the benchmark, by hash."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         texts = [(i, t.encode()) for i, t in items if t]
         offsets = np.cumsum([0, *(len(t) for _, t in texts)])
         data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
         tok = tokens(data, offsets)
         self.ids = [i for i, _ in texts]
         self.items = [tok.hashes[a:b] for a, b in zip(tok.first, tok.first[1:], strict=False)] if len(tok.hashes) else []
-        self.masks = _masks({len(x) for x in self.items if len(x) >= MIN_ITEM})
-        found = []
+        found, whole = [], [(k, x) for k, x in enumerate(self.items) if len(x) >= MIN_ITEM]
+        cuts = {(k, at, end - at) for k, x in whole for at, end in parts(len(x), similarity)}
+        self.masks = [*MASKS, *("1" * n for n in sorted({RUN} | {n for _, _, n in cuts}))]
         for m, mask in enumerate(self.masks):
-            for k, item in enumerate(self.items):
-                if m < len(MASKS) and len(item) < len(mask) or m >= len(MASKS) and len(item) != len(mask):
-                    continue
+            for k, item in whole:
                 h = window_hashes(item, mask, m)
-                found.append(np.stack([h, np.full(len(h), k, np.uint64), np.arange(len(h), dtype=np.uint64)]))
+                at = np.arange(len(h))
+                if m >= len(MASKS) and len(mask) != RUN:
+                    at = np.array([p for p in at.tolist() if (k, p, len(mask)) in cuts], np.int64)
+                found.append(np.stack([h[at], np.full(len(at), k, np.uint64), at.astype(np.uint64)]))
         every = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.uint64)
         every = every[:, np.argsort(every[0], kind="stable")]
         self.hashes, self.item, self.place = every[0], every[1].astype(np.int64), every[2].astype(np.int64)
@@ -147,6 +156,25 @@ class Block:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
+def likely(block: Block, tok: Tokens, hits: np.ndarray, min_tokens: int, similarity: float) -> np.ndarray:
+    """The hits with as many equal tokens in all as the shortest overlap needs."""
+    out = []
+    sizes = np.array([len(x) for x in block.items], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    every = np.concatenate(block.items) if block.items else np.zeros(0, np.uint64)
+    for top in range(0, len(hits), ALIGNMENTS):
+        part = hits[top : top + ALIGNMENTS]
+        row, k, diagonal = part.T
+        a, b = np.maximum(tok.first[row], diagonal), np.minimum(tok.first[row + 1], diagonal + sizes[k])
+        n = b - a
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(a - ends + n, n)
+        same = tok.hashes[at] == every[at + np.repeat(begins[k] - diagonal, n)]
+        equal = np.add.reduceat(same, ends - n, dtype=np.int64)
+        out.append(part[equal >= similarity * np.minimum(min_tokens, sizes[k])])
+    return np.concatenate(out) if out else hits
+
+
 def best_segment(equal: np.ndarray, penalty: int) -> tuple[int, int, int]:
     """(start, end, equal tokens) of the best-scoring segment."""
     score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -penalty))])
@@ -160,7 +188,7 @@ def overlaps(block: Block, data: np.ndarray, offsets: np.ndarray, min_tokens: in
     """(text, item_id, start, end, tokens, equal tokens, item's tokens): the best of each text and item; code points."""
     tok = tokens(data, offsets)
     best: dict[tuple, tuple] = {}
-    for row, k, diagonal in block.hits(tok).tolist():
+    for row, k, diagonal in likely(block, tok, block.hits(tok), min_tokens, similarity).tolist():
         item, first, last = block.items[k], int(tok.first[row]), int(tok.first[row + 1])
         a, b = max(first, diagonal), min(last, diagonal + len(item))
         same = tok.hashes[a:b] == item[a - diagonal : b - diagonal]
@@ -185,7 +213,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], min_tokens: int, simi
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(shared.value)
+        block = Block(shared.value, similarity)
         for b in batches:
             data, offsets = utf8(b.column(1))
             ids, out = b.column(0), []
