@@ -242,6 +242,8 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_tokens: int =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the documents that overlap an item of the benchmark; a null doc_id can't be named and stays."""
-    bad = benchmark_overlaps(docs, benchmark, **how).select(F.col("doc_id").alias("_sl_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_sl_bad_id"), "left_anti")
+    """docs without the rows whose text overlaps an item of the benchmark, whatever their doc_id."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    by_text = docs.select(key.alias("doc_id"), "text")
+    bad = benchmark_overlaps(by_text, benchmark, **how).select(F.col("doc_id").alias("_sl_bad_key")).distinct()
+    return docs.join(bad, key == F.col("_sl_bad_key"), "left_anti")

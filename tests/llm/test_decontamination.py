@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from spanloom.llm import decontamination as dc
-from tests.llm.conftest import prose
+from tests.llm.conftest import SCHEMA, prose
 
 
 def found(item: list[str], texts: list[str]) -> set[int]:
@@ -40,3 +40,14 @@ def test_one_substitution_too_many_is_no_overlap():
     item = [f"i{k}" for k in range(10)]
     texts = [" ".join("sub" if k in at else x for k, x in enumerate(item)) for at in itertools.combinations(range(10), 3)]
     assert found(item, texts) == set()
+
+
+def test_rows_go_by_their_text(spark):
+    rng = random.Random(4)
+    item, clean = prose(rng, 20), prose(rng, 50)
+    rows = [(None, item), (None, clean), (1, item), (1, clean), (2, None), (3, f"{clean} {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    left = dc.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    key = lambda r: str(r)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted([(None, clean), (1, clean), (2, None)], key=key)
