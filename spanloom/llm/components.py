@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import kept_table
+from spanloom.llm.common import Scratch
 
 
 def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -17,7 +17,8 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     to the shared folder, so that lost executors cost one round at most. Self-loops and repeated
     edges do no harm; no edges give no rows.
     """
-    now = kept_table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    last, own = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
+    now = own.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -31,7 +32,10 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = kept_table(small, "edges")
+        last.clear()
+        last, own = own, Scratch(edges.sparkSession)
+        now = own.keep(small, "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    last.clear()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

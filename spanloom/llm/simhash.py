@@ -167,7 +167,7 @@ def simhash_classes(docs: DataFrame, threshold: int = 2, width: int = 3) -> Data
     keeper is true for the rows of the one (doc_id, text) that stands for its class.
     """
     rows = kept_table(fingerprints(docs, width), "simhash")
-    first = F.min(F.struct("doc_id", "text_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     folded = kept_table(rows.groupBy("fp").agg(first.alias("first"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     roots = star_components(links(folded, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     near = roots.join(folded, roots.node == folded.fp)

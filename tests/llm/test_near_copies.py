@@ -45,6 +45,29 @@ def test_every_pair_of_the_similarity_is_found(spark):
     assert sorted(left) == sorted(set(roots.values()))
 
 
+def test_one_large_group(spark):
+    """Copies with none to ten words replaced, some alike: most are near the base, few are near each other."""
+    rng = random.Random(22)
+    base = prose(rng, 150).split()
+    texts = []
+    for k in range(250):
+        w = list(base)
+        for at in rng.sample(range(len(w)), k % 11):
+            w[at] = f"sub{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    sets = [slow_set(t) for t in texts]
+    roots = classes(range(len(sets)), [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    assert 1 < len(set(roots.values())) < 200
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == sorted(set(roots.values()))
+
+
+def test_a_row_without_id_is_not_kept_before_others(spark):
+    text = prose(random.Random(1), 80)
+    docs = spark.createDataFrame([(i, text, "en", "s", 0) for i in (None, 5, 4)], SCHEMA)
+    assert [r.doc_id for r in drop_near_copies(docs).collect()] == [4]
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     left = drop_near_copies(odd)
     assert left.columns == odd.columns and left.count() == slow_left([r[1] for r in odd_rows])
