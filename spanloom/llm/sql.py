@@ -35,7 +35,7 @@ FROM b JOIN j ON b.source IS NOT DISTINCT FROM j.source
 
 #: The first level at which the next source in order of cap to weight isn't above its cap.
 OP4 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (
   SELECT *, 2.0 * source_size AS most,
@@ -50,20 +50,27 @@ o AS (
 ),
 l AS (SELECT min_by(level, most / weight) AS level FROM o WHERE level * weight <= most),
 t AS (SELECT source, source_size, CAST(least(most, l.level * weight) AS DOUBLE) AS target FROM n, l),
-f AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+h AS (SELECT source, size, count(*) AS n, ceil(sqrt(size)) AS g FROM d WHERE size > 0 GROUP BY source, size),
+v AS (
+  SELECT h.source, size, n, g,
+         (target - 2.0 * coalesce(CAST(sum(n * size) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0.0))
+         / CAST(sum(n * size * CAST(g AS BIGINT)) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS tried
+  FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source
 ),
-g AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size - whole ELSE 0.0 END AS fraction, target - whole * source_size AS rest FROM f
+w AS (SELECT source, max_by(tried, size) FILTER (tried * g <= 2.0) AS level FROM v GROUP BY source),
+e AS (
+  SELECT doc_id, size, d.source, source_size, target, CASE WHEN size > 0 THEN least(2.0, coalesce(w.level * ceil(sqrt(size)), 2.0)) ELSE 0.0 END AS expected,
+         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN w ON d.source IS NOT DISTINCT FROM w.source
 ),
-u AS (
-  SELECT doc_id, size, g.source, source_size, target, whole, fraction, rest,
-         (CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+f AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS fraction, (CAST('0x' || substr(key, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM e),
+q AS (
+  SELECT *, target - CAST(sum(size * whole) OVER (PARTITION BY source) AS DOUBLE) AS rest,
+         CASE WHEN fraction > 0 THEN (u / (1 - u)) / (fraction / (1 - fraction)) END AS odds
+  FROM f
 ),
-q AS (SELECT *, CASE WHEN fraction > 0 THEN (u / (1 - u)) / (fraction / (1 - fraction)) END AS odds FROM u),
 k AS (
-  SELECT *, fraction > 0 AND sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0 <= rest AS extra
+  SELECT *, fraction > 0 AND sum(size) OVER (PARTITION BY source, fraction > 0 ORDER BY odds / (1 + odds), key ROWS UNBOUNDED PRECEDING) - size / 2.0 <= rest AS extra
   FROM q
 )
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN extra THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k

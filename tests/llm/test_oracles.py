@@ -15,8 +15,6 @@ ROWS = {"op1_substring_dedup": None, "op3_url_filters": 5, "op6_benchmark_decont
 @pytest.mark.parametrize("tables", ["sf0.001", "odd"])
 def test_same_as_sql(spark, odd_dir, name, tables):
     where = odd_dir["odd"] if tables == "odd" else "/root/testdata/sf0.001"
-    if tables == "odd" and name == "op4_source_mixing":
-        pytest.skip("repeated rows of a doc_id go together, which the window of the SQL doesn't say; see test_mixing")
     if tables == "odd" and name == "op7_line_dedup":
         pytest.skip("null and repeated doc_ids; see test_line_dedup")
     assert_same(queries.queries()[name], queries.oracle_sql()[name], spark, where)

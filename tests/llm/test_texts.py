@@ -191,6 +191,26 @@ def test_mixing_is_near_its_targets(spark, odd):
     assert out.columns == [*odd.columns, "copy"] and out.groupBy("doc_id", "copy").count().filter("count > 2").isEmpty()
 
 
+def test_mixing_of_equal_rows_and_unequal_odds(spark, tmp_path):
+    """A third of all rows are one: the cut falls among them, and the target is still met; longer documents go in more often."""
+    from spanloom.llm.queries import op4_source_mixing, oracle_sql
+    from tests.duck import assert_same
+
+    rng = random.Random(17)
+    rows = [(None, prose(rng, 40), "en", "a", 1)] * 300 + [(7, prose(rng, 25), "en", "a", 1)] * 200
+    rows += [(k, prose(rng, 10 if k % 2 else 90), "en", "b", 1) for k in range(100, 500)] + [(1, "", "en", "b", 0), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(op4_source_mixing, oracle_sql()["op4_source_mixing"], spark, str(tmp_path))
+    found = mixing.mix(docs).collect()
+    for size, target in {(r.source_size, r.target) for r in found if r.source_size}:
+        own = [r for r in found if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - target) <= max(r.size for r in own) / 2
+    odds = {n: sum(r.copies for r in found if r.size == n) / sum(r.size == n for r in found) for n in (10, 90)}
+    assert 0 < 2 * odds[10] < odds[90]
+    assert mixing.mixed(docs).count() == sum(r.copies for r in found)
+
+
 # Personal data
 
 
