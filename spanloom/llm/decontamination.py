@@ -15,7 +15,8 @@ of fewer than `MIN_ITEM` tokens says too little to match anything. Tokens are co
 Scale. The documents are read once per block of the benchmark and never shuffled. The hash join is a
 map-side join against one block at a time; a block holds at most about `block_bytes` of benchmark
 text (items are dealt to blocks by hash), so driver and executor memory do not grow with the
-benchmark: a larger benchmark makes more blocks.
+benchmark: a larger benchmark makes more blocks. Texts and items that repeat a word are met by runs, not by pairs of
+windows, and hits are laid out in bounded parts.
 
 Results for odd input: null or empty texts and items never match; an item with a repeated item_id
 reports its best overlap once; a row of docs that occurs twice is reported twice; an empty benchmark or table gives no
@@ -39,8 +40,8 @@ MASKS = ("1101100111", "1110011011", "1011111100", "0111101101")
 MIN_TOKENS, SIMILARITY, PENALTY = 13, 0.8, 3
 MIN_ITEM = 5
 RUN = 4
-#: Alignments compared at once.
-ALIGNMENTS = 1 << 12
+#: Alignments compared, and hits laid out, at once.
+ALIGNMENTS, HITS = 1 << 12, 1 << 20
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, start int, end int, n_tokens int, n_equal int, item_tokens int"
 
@@ -133,7 +134,13 @@ class Block:
                     at = np.array([p for p in at.tolist() if (k, p, len(mask)) in cuts], np.int64)
                 found.append(np.stack([h[at], np.full(len(at), k, np.uint64), at.astype(np.uint64)]))
         every = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.uint64)
-        every = every[:, np.argsort(every[0], kind="stable")]
+        every = every[:, np.lexsort((every[2], every[1], every[0]))]
+        # Of equal windows that follow each other in an item the first stands for all, with their number.
+        opens = np.ones(every.shape[1], bool)
+        opens[1:] = (every[0, 1:] != every[0, :-1]) | (every[1, 1:] != every[1, :-1]) | (every[2, 1:] != every[2, :-1] + np.uint64(1))
+        first = np.flatnonzero(opens)
+        self.long = np.diff(np.append(first, every.shape[1]))
+        every = every[:, first]
         self.hashes, self.item, self.place = every[0], every[1].astype(np.int64), every[2].astype(np.int64)
         bits = max(16, int(32 * max(1, len(self.hashes))).bit_length())
         self.shift = np.uint64(64 - min(bits, 26))
@@ -141,19 +148,57 @@ class Block:
         self.filter[self.hashes >> self.shift] = True
 
     def hits(self, tok: Tokens) -> np.ndarray:
-        """Rows (text, item, token of tok at which the item would start), each once."""
-        out = []
+        """Rows (text, item, token of tok at which the item would start), each once.
+
+        A run of equal windows in a text (a repeated word) that meets such a run in an item gives the range of places that
+        their pairs give, not the pairs; ranges are laid out in parts of HITS rows at most, made distinct as they come.
+        """
+        kept, fresh, n_fresh = np.zeros((0, 3), np.int64), [], 0
         for m, mask in enumerate(self.masks):
             h = window_hashes(tok.hashes, mask, m)
             at = np.flatnonzero(self.filter[h >> self.shift])
             at = at[tok.rows[at] == tok.rows[at + len(mask) - 1]]
+            opens = np.ones(len(at), bool)
+            opens[1:] = (h[at[1:]] != h[at[:-1]]) | (at[1:] != at[:-1] + 1) | (tok.rows[at[1:]] != tok.rows[at[:-1]])
+            first = np.flatnonzero(opens)
+            long, at = np.diff(np.append(first, len(at))), at[first]
             low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            n = high - low
-            if n.sum():
-                entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                at = np.repeat(at, n)
-                out.append(np.stack([tok.rows[at], self.item[entry], at - self.place[entry]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            for top, stop in _parts(high - low):
+                n = (high - low)[top:stop]
+                entry = np.repeat(low[top:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                begin = np.repeat(at[top:stop], n) - self.place[entry] - self.long[entry] + 1
+                width = np.repeat(long[top:stop], n) + self.long[entry] - 1
+                rows, items = np.repeat(tok.rows[at[top:stop]], n), self.item[entry]
+                for a, z in _parts(width):
+                    w = width[a:z]
+                    places = np.repeat(begin[a:z] - np.cumsum(w) + w, w) + np.arange(w.sum())
+                    fresh.append(np.stack([np.repeat(rows[a:z], w), np.repeat(items[a:z], w), places], axis=1))
+                    n_fresh += len(places)
+                    if n_fresh > HITS:
+                        kept, fresh, n_fresh = _distinct(np.concatenate([kept, *fresh])), [], 0
+        return _distinct(np.concatenate([kept, *fresh]))
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows in order; by one number for each where they fit."""
+    if not len(rows):
+        return rows
+    low, span = rows.min(axis=0), np.ptp(rows, axis=0) + 1
+    if int(span[0]) * int(span[1]) * int(span[2]) >= 1 << 62:
+        return np.unique(rows, axis=0)
+    a, b, c = (rows - low).T
+    key = np.unique((a * span[1] + b) * span[2] + c)
+    return np.stack([key // (span[1] * span[2]), key // span[2] % span[1], key % span[2]], axis=1) + low
+
+
+def _parts(n: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of n whose sums are HITS at most, or of one entry."""
+    out, first, ends = [], 0, np.cumsum(n)
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HITS, side="right")))
+        out.append((first, last))
+        first = last
+    return out
 
 
 def likely(block: Block, tok: Tokens, hits: np.ndarray, min_tokens: int, similarity: float) -> np.ndarray:
@@ -190,6 +235,8 @@ def overlaps(block: Block, data: np.ndarray, offsets: np.ndarray, min_tokens: in
     best: dict[tuple, tuple] = {}
     for row, k, diagonal in likely(block, tok, block.hits(tok), min_tokens, similarity).tolist():
         item, first, last = block.items[k], int(tok.first[row]), int(tok.first[row + 1])
+        if best.get((row, block.ids[k]), (0, 0, 0, 0))[0] >= len(item):
+            continue  # no alignment has more equal tokens, and those that follow begin later
         a, b = max(first, diagonal), min(last, diagonal + len(item))
         same = tok.hashes[a:b] == item[a - diagonal : b - diagonal]
         start, end, equal = best_segment(same, penalty)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -51,3 +52,39 @@ def test_rows_go_by_their_text(spark):
     key = lambda r: str(r)
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted([(None, clean), (1, clean), (2, None)], key=key)
+
+
+def slow_hits(block: dc.Block, items: list[list[str]], text: list[str]) -> set[tuple[int, int]]:
+    """(item, place) of every window of a mask, a run or a part that text and item share."""
+    out = set()
+    for k, item in enumerate(items):
+        cuts = {(a, z - a) for a, z in dc.parts(len(item), dc.SIMILARITY)}
+        for m, mask in enumerate(block.masks):
+            for q in range(len(item) - len(mask) + 1):
+                if m >= len(dc.MASKS) and len(mask) != dc.RUN and (q, len(mask)) not in cuts:
+                    continue
+                for p in range(len(text) - len(mask) + 1):
+                    if all(text[p + i] == item[q + i] for i, x in enumerate(mask) if x == "1"):
+                        out.add((k, p - q))
+    return out
+
+
+def test_hits_of_repeated_words():
+    rng = random.Random(5)
+    for _ in range(60):
+        items = [rng.choices("ab", k=rng.randrange(5, 30)) if rng.random() < 0.5 else ["a"] * rng.randrange(5, 40) for _ in range(3)]
+        text = [x for _ in range(rng.randrange(1, 5)) for x in (["a"] * rng.randrange(1, 40) if rng.random() < 0.5 else rng.choices("ab", k=rng.randrange(20)))]
+        block = dc.Block([(k, " ".join(x)) for k, x in enumerate(items)])
+        raw = " ".join(text).encode()
+        tok = dc.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert {(k, p) for _, k, p in block.hits(tok).tolist()} == slow_hits(block, items, text)
+
+
+@pytest.mark.parametrize("words", ["word ", "a b "])
+def test_a_megabyte_of_one_word(words):
+    item = (words * 200).split()[:200]
+    # Two words in turn make no runs, and so more pairs.
+    text = (words * ((1_000_000 if words == "word " else 200_000) // len(words))).strip()
+    began = time.process_time()
+    assert found(item, [text]) == {0}
+    assert time.process_time() - began < 120
