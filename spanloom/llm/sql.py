@@ -91,16 +91,12 @@ FROM m GROUP BY rid, doc_id
 """
 
 
-def op3(rounds: int = 20) -> str:
-    """Rules, then as many rounds of propagation as the operator takes at most, one after the other."""
+def op3(rounds: int = 200) -> str:
+    """Rules, then the scores as sums over the lengths of paths of links; what is left after so many is nothing."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     link = r"""(?i)\bhref\s*=\s*[\"'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"''\s<>]+)"""
-    steps = ",\n".join(
-        f"s{k + 1} AS (SELECT kind, host, sum(score) AS score FROM (SELECT * FROM s0 UNION ALL SELECT t.kind, t.dst, s.score * t.share * 0.85 FROM s{k} s JOIN steps t ON t.kind = s.kind AND t.src = s.host) GROUP BY kind, host)"
-        for k in range(rounds)
-    )
     return rf"""
-WITH p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT row_number() OVER () AS rid, page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS own FROM (SELECT page_id, html, coalesce(rest, '') AS rest FROM p)),
 h AS (
   SELECT rid, page_id, {lower.format("own")} AS host, regexp_extract(substr(rest, length(own) + 1), '^[^?#]*') AS path,
@@ -116,15 +112,24 @@ best AS (
 ),
 seeds AS (
   SELECT DISTINCT 'trust' AS kind, host FROM h JOIN best USING (rid) WHERE verdict = 'allow'
-  UNION ALL SELECT DISTINCT 'distrust', host FROM h JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) WHERE rule_path = '/' AND verdict = 'block'
+  UNION ALL SELECT DISTINCT 'distrust', host FROM (SELECT host FROM h UNION SELECT unnest(linked) FROM h WHERE host <> '') JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) WHERE rule_path = '/' AND verdict = 'block'
 ),
 edges AS (SELECT src, dst, count(*) AS weight FROM (SELECT host AS src, unnest(linked) AS dst FROM h) WHERE src <> '' AND src <> dst GROUP BY src, dst),
-both_ways AS (SELECT 'trust' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges),
+both_ways AS (SELECT 'trust' AS kind, src, dst, weight FROM edges UNION ALL SELECT unnest(['distrust', 'reach']), dst, src, weight FROM edges),
 steps AS (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM both_ways),
-s0 AS (SELECT kind, host, 0.15::DOUBLE AS score FROM seeds),
-{steps},
-t AS (SELECT host, coalesce(max(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(max(score) FILTER (kind = 'distrust'), 0) AS distrust FROM s{rounds} GROUP BY host)
-SELECT page_id, h.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) >= 0.01 AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+s0 AS (SELECT kind, host, 0.15::DOUBLE AS score FROM (SELECT * FROM seeds UNION ALL SELECT DISTINCT 'reach', unnest([src, dst]) FROM edges)),
+passed AS (
+  SELECT 0 AS k, kind, host, score FROM s0
+  UNION ALL SELECT p.k + 1, t.kind, t.dst, sum(p.score * t.share * 0.85) FROM passed p JOIN steps t ON t.kind = p.kind AND t.src = p.host WHERE p.k < {rounds} GROUP BY p.k, t.kind, t.dst
+),
+t AS (
+  SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust,
+         coalesce(sum(score) FILTER (kind = 'distrust' AND k > 0), 0) AS came, coalesce(sum(score) FILTER (kind = 'reach' AND k > 0), 0) AS most,
+         bool_or(kind = 'distrust' AND k = 0) AS seeded
+  FROM passed GROUP BY host
+)
+SELECT page_id, h.host, path, rule,
+       coalesce(verdict, CASE WHEN (seeded OR (most > 0 AND came / most >= 0.1 - 1e-6)) AND distrust > trust + 1e-6 THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN best USING (rid) LEFT JOIN t ON t.host = h.host
 """
 

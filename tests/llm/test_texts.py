@@ -131,16 +131,21 @@ def test_rules_and_propagation(spark):
     edges = {("a.com", "bad.net"): 1, ("b.com", "a.com"): 1, ("c.org", "d.com"): 1, ("d.com", "bad.net"): 1, ("e.com", "c.org"): 1}
     hosts = {h for e in edges for h in e} | {r.host for r in found.values() if r.host}
     scores = {}
-    for kind, seeds, steps in (("trust", {"c.org", "x.example.net"}, edges), ("distrust", {"bad.net", "x.example.net", "example.net", "net"}, {(b, a): w for (a, b), w in edges.items()})):
+    back = {(b, a): w for (a, b), w in edges.items()}
+    blocked = {"bad.net", "x.example.net", "example.net", "net"}
+    for kind, seeds, steps in (("trust", {"c.org", "x.example.net"}, edges), ("distrust", blocked, back), ("reach", {h for e in edges for h in e}, back)):
         out = {h: sum(w for (a, _), w in steps.items() if a == h) for h in hosts}
         p = {h: (1 - follow) * (h in seeds) for h in hosts}
-        for _ in range(60):
+        for _ in range(200):
             p = {h: (1 - follow) * (h in seeds) + follow * sum(p[a] * w / out[a] for (a, b), w in steps.items() if b == h) for h in hosts}
         scores[kind] = p
     for r in found.values():
         assert r.trust == pytest.approx(scores["trust"].get(r.host, 0), abs=1e-5) and r.distrust == pytest.approx(scores["distrust"].get(r.host, 0), abs=1e-5)
         if r.rule is None:
-            bad = r.distrust >= url_filters.LEAST and r.distrust > r.trust
+            came = scores["reach"].get(r.host, 0) - (1 - follow)
+            share = 1.0 if r.host in blocked else scores["distrust"].get(r.host, 0) / came if came > 1e-9 else 0.0
+            assert r.distrust_share == pytest.approx(share, abs=1e-5)
+            bad = share >= url_filters.LEAST and r.distrust > r.trust
             assert r.verdict == ("block" if bad else "allow")
     assert found[1].verdict == found[2].verdict == "block" and found[11].verdict == "block" and found[4].verdict == "allow"
 
@@ -159,6 +164,27 @@ def test_propagation_like_sql(spark, tmp_path):
     assert_same(op3_url_filters, oracle_sql()["op3_url_filters"], spark, str(tmp_path))
 
 
+def test_a_verdict_that_takes_many_rounds(spark, tmp_path):
+    """Trust and distrust run in circles; which is larger shows after round 20 only. Many linkers don't weaken distrust."""
+    from spanloom.llm.queries import op3_url_filters, oracle_sql
+    from tests.duck import assert_same
+
+    # Two-host loops that keep what reaches them; u hears of trust at once, of distrust over a chain of 25 hosts.
+    links = {("c1.com", "bad.net"), ("u.com", "c25.com"), ("good.org", "v.com"), ("v.com", "u.com"), ("v.com", "w.com"), ("w.com", "v.com")}
+    links |= {(f"c{k + 1}.com", f"c{k}.com") for k in range(1, 25)}
+    links |= {(f"n{k}.com", "worse.net") for k in range(40)}
+    pages = [(i, f"http://{a}/{'fr/' if a == 'good.org' else ''}x", f"<a href='//{b}/'>") for i, (a, b) in enumerate(sorted(links))] + [(900 + k, f"http://c{k}.com/y", "") for k in (21, 25)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    frame.write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.host: r for r in url_filters.judge(frame).collect()}
+    # Round k brings distrust to the host at distance k.
+    assert found["c25.com"].distrust == pytest.approx(0.15 * 0.85**25, rel=1e-6) and found["c25.com"].distrust > 0
+    assert all(found[f"n{k}.com"].verdict == "block" and found[f"n{k}.com"].distrust < 0.01 for k in range(40))
+    assert_same(op3_url_filters, oracle_sql()["op3_url_filters"], spark, str(tmp_path))
+    with pytest.raises(RuntimeError):
+        url_filters.judge(frame, rounds=20)
+
+
 # Mixing
 
 
