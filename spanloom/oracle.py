@@ -85,17 +85,32 @@ folded AS (
 cells AS (SELECT region_id, CAST(sample_idx AS INTEGER) AS sample_idx, CAST(bin AS INTEGER) AS bin, CAST({value} AS DOUBLE) AS value FROM folded)"""
 
 
-def by_base(statistic: str, zero: bool) -> str:
-    """cells from bins by single bases."""
-    missing = "coalesce(v.value, 0.0)" if zero else "v.value"
-    agg = {"median": "median", "mean": "avg", "sum": "sum", "max": "max"}[statistic]
+def median_of_runs(zero: bool) -> str:
+    """cells from bins: the median of all bases of the overlapping intervals, each with its width, and of zeros for the gaps."""
+    gap = """
+  UNION ALL SELECT region_id, sample_idx, bin, 0.0, width - c FROM wide WHERE width > c""" if zero else ""
     fill = "coalesce(x, 0.0)" if zero else "x"
     return f"""
-spots AS (SELECT region_id, chrom, bin, unnest(range(bs, be)) AS pos FROM bins WHERE NOT short),
+met AS (
+  SELECT b.region_id, g.sample_idx, b.bin, g.value AS x, least(be, g.e) - greatest(bs, g.s) AS w
+  FROM bins b JOIN sig g ON g.chrom = b.chrom AND g.s < b.be AND b.bs < g.e WHERE NOT b.short AND b.bs < b.be
+),
+wide AS (
+  SELECT b.region_id, n.sample_idx, b.bin, be - bs AS width, coalesce(c, 0) AS c
+  FROM bins b CROSS JOIN {SAMPLES}
+  LEFT JOIN (SELECT region_id, sample_idx, bin, sum(w) AS c FROM met GROUP BY ALL) m ON m.region_id = b.region_id AND m.sample_idx = n.sample_idx AND m.bin = b.bin
+),
+parts AS (
+  SELECT region_id, sample_idx, bin, x, w FROM met{gap}
+),
+upto AS (
+  SELECT *, sum(w) OVER (PARTITION BY region_id, sample_idx, bin ORDER BY x ROWS UNBOUNDED PRECEDING) AS hi,
+         sum(w) OVER (PARTITION BY region_id, sample_idx, bin) AS total
+  FROM parts
+),
 seen AS (
-  SELECT p.region_id, n.sample_idx, p.bin, {agg}({missing}) AS x
-  FROM spots p CROSS JOIN {SAMPLES} LEFT JOIN base v ON v.sample_idx = n.sample_idx AND v.chrom = p.chrom AND v.pos = p.pos
-  GROUP BY p.region_id, n.sample_idx, p.bin
+  SELECT region_id, sample_idx, bin, (min(x) FILTER (hi > (total - 1) // 2) + min(x) FILTER (hi > total // 2)) / 2 AS x
+  FROM upto GROUP BY region_id, sample_idx, bin
 ),
 cells AS (
   SELECT b.region_id, CAST(n.sample_idx AS INTEGER) AS sample_idx, CAST(b.bin AS INTEGER) AS bin, CAST({fill} AS DOUBLE) AS value

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom import compare, oracle
-
+from spanloom import compare, oracle, round_trips
 from spanloom.functions.formatting import matrix_value_text, plain_value_text
 from spanloom.functions.names import unique_labels, with_unique_names
 from spanloom.operators import intervals, ordering, regions
@@ -48,6 +47,18 @@ def cell_query(layout: Layout, **general) -> Query:
     return run
 
 
+def lacking_query(zero: bool) -> Query:
+    """One sample lacks a chromosome that regions lie on."""
+    how = General(bin_size=SIZE, missing_as_zero=zero)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found, signal, chroms = inputs(spark, sf_dir)
+        there = "NOT (sample_idx = 1 AND chrom = 'click')"
+        return cells(found, signal.filter(there), chroms.filter(there), REF, how, SAMPLES)
+
+    return run
+
+
 def row_query(layout: Layout, **general) -> Query:
     """Cells of the rows that filters leave."""
     how = General(bin_size=SIZE, **general)
@@ -241,15 +252,20 @@ def _cell_queries() -> dict[str, tuple[Query, str | None]]:
         for zero in (False, True):
             if statistic is mean and not zero:
                 continue
-            how = oracle.by_base("median", zero) if statistic is Statistic.MEDIAN else oracle.runs(statistic.value, zero)
+            how = oracle.median_of_runs(zero) if statistic is Statistic.MEDIAN else oracle.runs(statistic.value, zero)
             out[f"refpoint_tss_{statistic.value}" + "_zero" * zero] = cell_query(REF, statistic=statistic, missing_as_zero=zero), oracle.query(bins, how)
     plain, unscaled = oracle.scale_bins(100, 50, 25, 0, 0, SIZE), oracle.scale_bins(50, 25, 50, 25, 50, SIZE)
     short = oracle.scale_bins(400, 0, 0, 75, 100, SIZE)
     for statistic in ("mean", "sum", "median", "max"):
-        out[f"scale_regions_{statistic}"] = cell_query(SCALE, statistic=statistic), oracle.query(plain, oracle.by_base(statistic, False))
+        how = oracle.median_of_runs(False) if statistic == "median" else oracle.runs(statistic, False)
+        out[f"scale_regions_{statistic}"] = cell_query(SCALE, statistic=statistic), oracle.query(plain, how)
     out["scale_regions_mean_zero"] = cell_query(SCALE, missing_as_zero=True), oracle.query(plain, oracle.runs("mean", True))
     out["scale_regions_unscaled"] = cell_query(UNSCALED), oracle.query(unscaled, oracle.runs("mean", False))
-    out["scale_regions_short_body"] = cell_query(ScaleRegions(body=400, unscaled_5=75, unscaled_3=100), missing_as_zero=True), oracle.query(short, oracle.by_base("mean", True))
+    out["scale_regions_short_body"] = cell_query(ScaleRegions(body=400, unscaled_5=75, unscaled_3=100), missing_as_zero=True), oracle.query(short, oracle.runs("mean", True))
+    held = "LEFT JOIN (SELECT * FROM sig WHERE NOT (sample_idx = 1 AND chrom = 'click')) g ON"
+    for zero in (False, True):
+        out["missing_chrom" + "_zero" * zero] = lacking_query(zero), oracle.query(bins, oracle.runs("mean", zero).replace("LEFT JOIN sig g ON", held))
+    out["metagene_tss_sum"] = cell_query(REF, metagene=True, statistic=Statistic.SUM), oracle.query(oracle.spliced(), oracle.spliced_cells(oracle.spliced_reference("TSS", 50, 100, SIZE), 6).replace("s.x AS value", "s.total AS value").replace('"s.x"', "s.total"))
     spots, n = oracle.spliced_scale(100, 50, 25, 25, 50, SIZE), 10
     layout = ScaleRegions(body=100, upstream=50, downstream=25, unscaled_5=25, unscaled_3=50)
     limit = f"CASE WHEN f.real THEN f.total - 25 - 50 ELSE f.total - least(25, f.total) - least(50, f.total - least(25, f.total)) END < {SIZE}"
@@ -295,6 +311,8 @@ def _row_queries() -> dict[str, tuple[Query, str | None]]:
         out[f"sort_metric_{using.value}"] = metric_query(using), text
     for using in (SortMetric.MEAN, SortMetric.SUM):
         out[f"sort_metric_{using.value}"] = exact_metric(using), oracle.query(ref, oracle.runs("max", False), metric.format(agg=agg[using], where=""), select="SELECT region_id, metric FROM m")
+        rounded = oracle.query(*missing, metric.format(agg=agg[using], where=""), select="SELECT region_id, round(metric, 4) AS metric FROM m")
+        out[f"sort_metric_{using.value}_of_means"] = rounded_metric(using), rounded
     out["sort_using_samples"] = metric_query(SortMetric.MAX, (1, 3)), oracle.query(*missing, metric.format(agg="max(value)", where="WHERE sample_idx IN (0, 2)"), select="SELECT region_id, metric FROM m")
     counted = "c AS (SELECT g.group_idx, g.group_label, CAST(count(k.region_id) AS BIGINT) AS n FROM (SELECT DISTINCT group_idx, group_label FROM reg) g LEFT JOIN (SELECT r.region_id, r.group_idx FROM reg r WHERE region_id IN (SELECT region_id FROM cells GROUP BY region_id HAVING count(value) > 0)) k ON k.group_idx = g.group_idx GROUP BY g.group_idx, g.group_label)"
     out["group_counts"] = group_counts, oracle.query(*missing, counted, select="SELECT * FROM c")
@@ -302,6 +320,11 @@ def _row_queries() -> dict[str, tuple[Query, str | None]]:
     return out
 
 
+def rounded_metric(using: SortMetric) -> Query:
+    """The metric over mean values, as it is by default; the order of a sum doesn't reach its fourth decimal."""
+    return lambda spark, sf_dir: metric_query(using)(spark, sf_dir).select("region_id", F.round("metric", 4).alias("metric"))
+
+
 def exact_metric(using: SortMetric) -> Query:
     """The metric over the largest values of bins: whole numbers, whose sums are exact."""
     how = General(bin_size=SIZE, statistic=Statistic.MAX, sort_using=using)
@@ -394,12 +417,15 @@ def _other_queries() -> dict[str, tuple[Query, str | None]]:
             value_diff,
             oracle.query(oracle.reference_bins("TSS", 50, 100, SIZE), oracle.runs("mean", False), select="SELECT sample_idx, count(*) AS n FROM cells WHERE value IS NOT NULL AND region_id % 5 IN (1, 2) GROUP BY sample_idx"),
         ),
-        "format_matrix_value": (format_matrix_value, None),
+        "format_matrix_value": (
+            format_matrix_value,
+            "WITH p AS (SELECT DISTINCT l_extendedprice / 3 AS v FROM lineitem), n AS (SELECT v, CAST(round_even(v * 1000000.0, 0) AS BIGINT) AS n FROM p) SELECT v, (n // 1000000) || '.' || lpad(CAST(n % 1000000 AS VARCHAR), 6, '0') AS text FROM n",
+        ),
         "format_plain_value": (format_plain_value, "SELECT DISTINCT l_extendedprice / 1000 AS v, printf('%.4g', l_extendedprice / 1000) AS text FROM lineitem"),
     }
 
 
-ALL: dict[str, tuple[Query, str | None]] = _cell_queries() | _row_queries() | _other_queries()
+ALL: dict[str, tuple[Query, str | None]] = _cell_queries() | _row_queries() | _other_queries() | round_trips.queries()
 
 
 def queries() -> dict[str, Query]:

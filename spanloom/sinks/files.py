@@ -11,7 +11,7 @@ import json
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
-from typing import Any, TextIO
+from typing import IO, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,11 +106,15 @@ def table_header(head: dict[str, Any]) -> list[str]:
 
 
 @contextmanager
-def _finished(path: str, compressed: bool) -> Iterator[TextIO]:
-    """A file under its name only once it is whole."""
+def finished(path: str, compressed: bool | None) -> Iterator[IO]:
+    """A file under its name only once it is whole; of bytes if `compressed` is None."""
     part = f"{path}.part"
     try:
-        with gzip.open(part, "wt", encoding="utf-8", newline="\n") if compressed else open(part, "w", encoding="utf-8", newline="\n") as f:
+        if compressed is None:
+            opened = open(part, "wb")
+        else:
+            opened = gzip.open(part, "wt", encoding="utf-8", newline="\n") if compressed else open(part, "w", encoding="utf-8", newline="\n")
+        with opened as f:
             yield f
         os.replace(part, path)
     finally:
@@ -119,7 +123,7 @@ def _finished(path: str, compressed: bool) -> Iterator[TextIO]:
 
 
 def _write(path: str, head: list[str], lines: DataFrame, compressed: bool) -> None:
-    with _finished(path, compressed) as f:
+    with finished(path, compressed) as f:
         for line in head:
             f.write(line + "\n")
         for row in lines.toLocalIterator(prefetchPartitions=True):

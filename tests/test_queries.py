@@ -8,14 +8,8 @@ import __spark_entry__
 from spanloom.queries import ALL
 from tests.duck import assert_same
 
-CHOSEN = [
-    "refpoint_tss_mean", "refpoint_center_nan_after_end", "refpoint_tss_median_zero", "refpoint_tss_std", "scale_regions_unscaled", "scale_regions_short_body", "metagene_tes", "metagene_center", "metagene_scale_zero",
-    "threshold_max", "skip_missing", "sort_descend", "sort_ascend", "sort_metric_median", "sort_using_samples", "group_boundaries", "blacklist_subtract", "blacklist_filter", "coalesce_islands", "gap_p75", "bed_fields", "bed_group_assign",
-    "name_dedup", "region_multiset_diff", "value_diff_tolerance", "overlap_join",
-]
 
-
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, name):
     query, sql = ALL[name]
     assert_same(query, sql, spark)
