@@ -427,6 +427,26 @@ def test_line_runs_are_compacted(spark):
     assert merged == {k: (3 * sum(b <= k < b + 4 for b in range(5)), 100 - 10 * max(0, k - 3)) for k in range(8)}
 
 
+def test_runs_are_neither_shuffled_nor_sorted_again(spark):
+    """Runs are found by their manifest; the plan of a batch reads each by its buckets, in their order."""
+    runs = line_dedup.LineRuns(spark, fanout=3, buckets=4)
+    batch = lambda k: spark.createDataFrame([(100 - 10 * k, i, i) for i in range(k, k + 50)], "doc_id long, h1 long, h2 long")
+    runs.add(batch(0))
+    runs.add(batch(1))
+    again = line_dedup.LineRuns(spark, root=runs.root)
+    assert (again.levels, again.buckets, again.fanout) == (runs.levels, 4, 3)
+    with line_dedup.sorted_scans(spark):
+        plan = again.joined(batch(2))._jdf.queryExecution().executedPlan().toString()
+        merged = again._merged(*again.paths())._jdf.queryExecution().executedPlan().toString()
+    for text, n_sorts in ((plan, 1), (merged, 0)):
+        scans = [line for line in text.splitlines() if "FileScan" in line]
+        assert len(scans) == 2 and all("Bucketed: true" in x for x in scans) and text.count("Sort [") == n_sorts
+    assert "Exchange" not in merged
+    again.add(batch(2))
+    assert [len(x) for x in again.levels] == [0, 1]
+    assert {r.h1: (r.n_docs, r.keeper) for r in again.merged().collect()} == {i: (sum(k <= i < k + 50 for k in range(3)), 100 - 10 * max(0, i - 49)) for i in range(52)}
+
+
 # Language identification
 
 
