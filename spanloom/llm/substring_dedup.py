@@ -10,12 +10,12 @@ text make a run, and runs of at least `min_chars` code points are reported as sp
 
 Scale. Within a document equal chunks are folded before anything is shuffled. One shuffle combines
 (digest, smallest doc_id, count), map-side first, so that a chunk of a third of all documents is one row
-for each task; only digests that occur more than once meet the chunks again, in an equi-join whose
-hot keys adaptive execution splits. Runs are formed within a document. Chunks are computed twice
+for each task; only digests that occur more than once meet the chunks again, in an equi-join that broadcasts the digests of
+a large share of all chunks. Runs are formed within a text, equal rows folded. Chunks are computed twice
 rather than written.
 
 Results for odd input: null and empty texts have no chunks; rows with the same doc_id are one document
-(spans of each are reported under it); a null doc_id counts as the largest; an empty table gives no rows; other columns are ignored
+(spans of each text are reported under it, once for equal rows); a null doc_id counts as the largest; an empty table gives no rows; other columns are ignored
 (drop_repeats: passed through).
 """
 
@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from spanloom.llm.common import doc_texts, slices, utf8
+from spanloom.llm.common import doc_texts, join_by_key, kept_table, slices, utf8
 
 MIN_CHUNK, MEAN_TAIL, MAX_CHUNK = 16, 24, 128
 MIN_CHARS = 100
@@ -108,13 +108,15 @@ def _chunk_rows(docs: DataFrame, folded: bool) -> DataFrame:
                     "number": pa.array(numbers, pa.int32()),
                 }
                 if not folded:
+                    texts = [xxh3_64_intdigest(raw[a:z]) for a, z in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+                    out["text_key"] = pa.array(np.repeat(np.array(texts, np.uint64).view(np.int64), rows))
                     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                     base = np.repeat(points[offsets[:-1]], rows)
                     out["start"] = pa.array((points[np.array(begins, np.int64)] - base).astype(np.int32))
                     out["end"] = pa.array((points[np.array(ends, np.int64)] - base).astype(np.int32))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return doc_texts(docs).mapInArrow(run, "h1 long, h2 long, doc_id long, number int" + ("" if folded else ", start int, end int"))
+    return doc_texts(docs).mapInArrow(run, "h1 long, h2 long, doc_id long, number int" + ("" if folded else ", text_key long, start int, end int"))
 
 
 def repeated_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -124,14 +126,17 @@ def repeated_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     chunk of the span.
     """
     folded = _chunk_rows(docs, True).groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_doc_id"), F.sum("number").alias("n"))
-    repeats = folded.filter("n > 1").drop("n")
-    hits = _chunk_rows(docs, False).join(repeats, ["h1", "h2"])
+    repeats = kept_table(folded.filter("n > 1"), "repeated-chunks")
+    total = repeats.agg(F.sum("n")).first()[0] or 0
+    hits = join_by_key(_chunk_rows(docs, False), repeats, ["h1", "h2"], F.xxhash64("text_key", "number"), total)
     again = F.col("number") < 0
     lost = hits.filter(again | ~F.col("doc_id").eqNullSafe(F.col("kept_doc_id")))
-    lost = lost.select("doc_id", F.when(again, -F.col("number") - 1).otherwise(F.col("number")).alias("place"), "start", "end", "kept_doc_id")
-    runs = lost.withColumn("run", F.col("place") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("place")))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("place").alias("n_chunks"), F.min("kept_doc_id").alias("kept_doc_id"))
-    return spans.filter(F.col("end") - F.col("start") >= min_chars).drop("run")
+    lost = lost.select("doc_id", "text_key", F.when(again, -F.col("number") - 1).otherwise(F.col("number")).alias("place"), "start", "end", "kept_doc_id")
+    # Equal rows fold before a text's places meet.
+    lost = lost.groupBy("doc_id", "text_key", "place").agg(*[F.min(c).alias(c) for c in ("start", "end", "kept_doc_id")])
+    runs = lost.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("place")))
+    spans = runs.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min("kept_doc_id").alias("kept_doc_id"))
+    return spans.filter(F.col("end") - F.col("start") >= min_chars).drop("run", "text_key")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
