@@ -8,8 +8,8 @@ temperature that minimises the log loss on documents held back from it.
 
 Labelled rows are those whose crc32(doc_id) mod 5 is not 0 and whose lang is not null. Document
 frequencies count all of them; the weights are fitted on at most `PER_LANGUAGE` documents of each
-language, those with the smallest hashes, a fifth of which serve for the calibration. A prediction
-uses the text alone.
+language, those with the smallest hashes of doc_id and text, of a fifth of which `CUT` characters each serve for the calibration.
+A prediction uses the whole text and nothing else.
 
 Scale. Three passes over the texts in numpy, none of which shuffles them: frequencies (summed by
 place, at most DIMENSIONS rows for each task), the bounded sample (a filter by the counts of the
@@ -17,7 +17,7 @@ languages leaves about four times as many rows to put in order), and prediction.
 
 Results for odd input: a null text or one without letters is `und` with score 0; a null lang
 is not learned from; a null doc_id counts as held out; with one language alone it is predicted with
-score 1, with none everything is `und`; repeated rows count each; an empty table gives an empty one;
+score 1, with none everything is `und`; more than `MOST_LANGUAGES` languages are an error; repeated rows count each; an empty table gives an empty one;
 other columns are ignored.
 """
 
@@ -37,6 +37,10 @@ DIMENSIONS = 1 << 16
 PER_LANGUAGE, EPOCHS = 600, 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 SCALE = 100.0
+#: Bound on the languages, and so on the sample and the model.
+MOST_LANGUAGES = 512
+#: Characters of a held-back document that calibrate; whole ones are too easy to say how sure the model may be.
+CUT = 24
 MARK = 32
 
 
@@ -173,9 +177,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
     rows = labelled(docs)
     n, df = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1.0) * (df > 0)
-    drawn = rows.select("lang", "doc_id", F.xxhash64("text").alias("key"), F.xxhash64("doc_id", F.lit(9)).alias("draw"))
+    drawn = rows.select("lang", "doc_id", F.xxhash64("text").alias("key"), F.xxhash64("doc_id", "text", F.lit(9)).alias("draw"))
     # Draws are uniform: the smallest `per_language` lie within four times their share, and only those are put in order.
     sizes = kept_table(drawn.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share")), "languages")
+    if (languages := sizes.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages are more than {MOST_LANGUAGES}; the model has a column for each")
     near = F.col("draw") / F.lit(2.0**64) + 0.5 < F.col("share")
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "key")
     chosen = kept_table(drawn.join(sizes, "lang").filter(near).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language), "sample")
@@ -183,9 +189,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
     chosen = chosen.groupBy("doc_id", "key", "lang").agg(F.min("k").alias("k"))
     texts = rows.withColumn("key", F.xxhash64("text")).join(chosen, ["doc_id", "key", "lang"]).dropDuplicates(["k", "lang"])
 
+    def part(text: str, k: int) -> str:
+        """The whole text; of one that calibrates, some characters from its middle."""
+        return text if k % 5 else text[len(text) // 2 :][:CUT]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t.as_buffer().to_pybytes(), idf) for t in b.column(2).cast(pa.binary())]
+            found = [features(part(t.as_py(), k).encode(), idf) for t, k in zip(b.column(2), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))], ["lang", "k", "place", "x"])
 
     table = texts.select("lang", "k", "text").mapInArrow(run, "lang string, k int, place array<int>, x array<float>").toArrow().sort_by([("lang", "ascending"), ("k", "ascending")])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from spanloom.llm import decontamination as dc
@@ -79,6 +81,15 @@ def test_substrings_are_dropped_once(spark, odd):
     assert substring_dedup.drop_repeats(odd).columns == odd.columns and substring_dedup.drop_repeats(odd).count() == 16
 
 
+def test_substrings_of_rows_without_id(spark):
+    """Many equal rows without an id, and others: each text's spans once, kept by the document with an id."""
+    rng = random.Random(24)
+    passage = prose(rng, 90)
+    rows = [(None, f"{prose(rng, 30)} {passage}", "en", "s", 1)] * 60 + [(3, f"{passage} {prose(rng, 40)}", "en", "s", 1), (None, f"{passage} x", "en", "s", 1)]
+    found = substring_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == 2 and all(r.doc_id is None and r.kept_doc_id == 3 for r in found)
+
+
 # Quality rules
 
 
@@ -471,6 +482,49 @@ def test_language_uses_text_alone(spark):
     assert {(r.lang_pred, r.score) for r in langid.predict(train, one).collect()} == {("de", 1.0)}
 
 
+def test_training_like_plain_python():
+    """Features, weights and temperature, one coordinate at a time."""
+    rng = random.Random(23)
+    idf = np.array([1.0 + (k % 7) / 3 for k in range(langid.DIMENSIONS)])
+    texts = [" ".join(rng.choices(["der", "die", "el", "la", "the", "of"][2 * (k % 3) :][:2] + ["xx"], k=6)) for k in range(24)]
+    samples, labels = [langid.features(t.encode(), idf) for t in texts], np.array([k % 3 for k in range(24)])
+    for (index, x), t in zip(samples, texts, strict=True):
+        places, _, _ = langid.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        plain = {p: 100.0 * (places == p).sum() / len(places) * idf[p] for p in set(places.tolist())}
+        assert dict(zip(index.tolist(), x.tolist(), strict=True)) == pytest.approx(plain)
+        marked = "".join(t.split())
+        assert len(places) == 3 * len(t) and marked.isalpha()
+    z, n = {}, {}
+    weight = lambda i, c: 0.0 if abs(z.get((i, c), 0)) <= langid.L1 else -(z[i, c] - math.copysign(langid.L1, z[i, c])) / ((langid.BETA + math.sqrt(n[i, c])) / langid.ALPHA + langid.L2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(samples)):
+            pairs = list(zip(samples[k][0].tolist(), samples[k][1].tolist(), strict=True))
+            w = {(i, c): weight(i, c) for i, _ in pairs for c in range(3)}
+            e = [math.exp(sum(x * w[i, c] for i, x in pairs)) for c in range(3)]
+            for i, x in pairs:
+                for c in range(3):
+                    g = x * (e[c] / sum(e) - (labels[k] == c))
+                    old = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / langid.ALPHA * w[i, c]
+                    n[i, c] = old + g * g
+    found = langid.train(samples, labels, 3, epochs=2)
+    for i in {i for i, _ in n}:
+        assert found[i].tolist() == pytest.approx([weight(i, c) for c in range(3)], abs=1e-9)
+    assert (found != 0).sum() <= len(n)
+    scores = np.array([[rng.gauss(2 * (c == k % 3), 2) for c in range(3)] for k in range(200)])
+    loss = lambda t: -np.log(langid.softmax(scores / t)[np.arange(200), np.arange(200) % 3]).mean()
+    best = min((loss(t), t) for t in np.exp(np.linspace(np.log(0.5), np.log(20), 4000)))[1]
+    assert langid.temperature(scores, np.arange(200) % 3) == pytest.approx(best, rel=1e-2)
+
+
+def test_a_language_under_one_id_is_learned(spark):
+    rows = [(1, f"la maison est grande {k}", "fr", "s", 1) for k in range(500)] + [(k, f"the house is large {k}", "en", "s", 1) for k in range(2, 202)]
+    assert langid.fit(spark.createDataFrame(rows, SCHEMA), 50)[0] == ["en", "fr"]
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame([(k, "ab", f"l{k}", "s", 1) for k in range(2 * langid.MOST_LANGUAGES)], SCHEMA))
+
+
 # Token counts
 
 
