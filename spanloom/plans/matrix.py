@@ -4,10 +4,11 @@ regions: region_id, group_idx, chrom, start, end, strand, exons (array of (start
 signal:  sample_idx, chrom, start, end, value; intervals of one sample don't overlap
 chroms:  sample_idx, chrom, length
 
-cells() gives (region_id, sample_idx, bin, value), one row for every cell, covered or not. The bins
-of the regions are laid out by expressions, cut to the counted pieces and met with the signal on tiles of
-the chromosome. The empty grid is added as rows without signal to the same aggregation, so that no join
-brings it back; counts combine before the shuffle. rows() folds the cells of a region to one array.
+values() gives the array of a region's values, by sample, then bin. Without blocks the window of a region meets the signal
+on tiles of the chromosome, each interval once, and kernels on Arrow batches fold them into bins (operators.bin_values). Spliced
+layouts, and regions too long for one array, meet the signal bin by bin: the bins are laid out by
+expressions, cut to the counted pieces, and the empty grid is added as rows without signal to the same
+aggregation, so that no join brings it back; counts combine before the shuffle. cells() and rows() are two forms of the same.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.chroms import normal_chrom
 from spanloom.operators import aggregate
+from spanloom.operators.bin_values import MOST_HITS, kernel
 from spanloom.operators.intervals import TILE, overlap_join
-from spanloom.options import General, Layout
+from spanloom.options import General, Layout, ReferencePoint
 from spanloom.operators.rows import filter_rows
 from spanloom.plans.bins import with_bins
 
 
+#: Width of the tiles on which windows meet the signal; some times the usual window.
+WINDOW_TILE = 1024
+
+
 def clean_signal(signal: DataFrame) -> DataFrame:
     """Signal with normal chromosome names, widened values, and without values that are no numbers."""
     value = F.col("value").cast("double")
@@ -37,7 +43,8 @@ def _counted_pieces(bins: DataFrame, metagene: bool) -> DataFrame:
     return bins.select("region_id", "norm", "bin", F.explode(parts).alias("p")).select("region_id", "norm", "bin", F.col("p.s").alias("l_start"), F.col("p.e").alias("l_end"))
 
 
-def cells(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int = TILE) -> DataFrame:
+def cells_by_bin(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int | None = None) -> DataFrame:
+    """(region_id, sample_idx, bin, value), one row for every cell, by a join of bins and signal."""
     # A region becomes hundreds of rows: deal the regions out first, however few files they came in.
     parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = regions.select("region_id", "chrom", "start", "end", "strand", "exons").repartition(parts, "region_id")
@@ -47,7 +54,7 @@ def cells(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layo
     bins = planned.select(*carried, F.explode_outer("bins").alias("b")).select(*carried, "b.bin", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"), "b.beyond")
 
     pieces = _counted_pieces(bins.filter(~F.col("too_short")), general.metagene)
-    tile = max(tile, 2 << max(0, general.bin_size - 1).bit_length())
+    tile = max(tile or TILE, 2 << max(0, general.bin_size - 1).bit_length())
     met = overlap_join(pieces, clean_signal(signal), "norm", tile)
     width = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
     nothing = {"counted": F.lit(None).cast("long"), "masked": F.lit(None).cast("boolean")}
@@ -71,13 +78,60 @@ def cells(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layo
     return folded.select("region_id", "sample_idx", "bin", value.alias("value"))
 
 
-def rows(regions: DataFrame, cells_: DataFrame, layout: Layout, general: General) -> DataFrame:
+def values_by_window(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int | None = None) -> DataFrame:
+    """(region_id, values) of regions without blocks, by a join of windows and signal."""
+    masks = isinstance(layout, ReferencePoint) and layout.nan_after_end
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = regions.select("region_id", "chrom", "start", "end", "strand", "exons").repartition(parts, "region_id")
+    planned = with_bins(dealt.withColumn("norm", normal_chrom(F.col("chrom"))), layout, general)
+    # The few chromosomes of a short window or interval make one or two tiles; a long one makes as many as it covers.
+    windows = with_bins(regions.withColumn("norm", normal_chrom(F.col("chrom"))), layout, general).select("region_id", "norm", F.col("window_start").alias("l_start"), F.col("window_end").alias("l_end"))
+    met = overlap_join(windows, clean_signal(signal), "norm", tile or WINDOW_TILE)
+    hits = met.groupBy("region_id").agg(F.collect_list(F.struct("sample_idx", "r_start", "r_end", "x")).alias("hits"))
+    joined = planned.select("region_id", "norm", "too_short", "bins").join(hits, "region_id", "left")
+    if masks:
+        has = chroms.groupBy(normal_chrom(F.col("chrom")).alias("_norm")).agg(F.collect_set("sample_idx").alias("has"))
+        joined = joined.join(has, F.col("norm") == F.col("_norm"), "left")
+    else:
+        joined = joined.withColumn("has", F.lit(None).cast("array<int>"))
+    run = kernel(n_samples, layout.n_bins(general.bin_size), general.statistic, general.missing_as_zero, masks)
+    return joined.select("region_id", "too_short", "bins", "hits", "has").mapInArrow(run, f"{regions.select('region_id').schema[0].simpleString().replace(':', ' ')}, values array<double>")
+
+
+def _folded(cells_: DataFrame) -> DataFrame:
+    return cells_.groupBy("region_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "bin", "value"))), lambda c: c["value"]).alias("values"))
+
+
+def values(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int | None = None) -> DataFrame:
+    """(region_id, values): by sample, then bin; one row per region."""
+    inputs = (signal, chroms, layout, general, n_samples, tile)
+    if general.metagene:
+        return _folded(cells_by_bin(regions, *inputs))
+    if isinstance(layout, ReferencePoint):
+        return values_by_window(regions, *inputs)
+    length = F.col("end") - F.col("start") + layout.upstream + layout.downstream
+    most = MOST_HITS // max(1, n_samples)
+    if (regions.agg(F.max(length)).first()[0] or 0) <= most:
+        return values_by_window(regions, *inputs)
+    fits = F.coalesce(length <= most, F.lit(True))
+    return values_by_window(regions.filter(fits), *inputs).unionByName(_folded(cells_by_bin(regions.filter(~fits), *inputs)))
+
+
+def cells(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int | None = None) -> DataFrame:
+    """(region_id, sample_idx, bin, value), one row for every cell, covered or not."""
+    if general.metagene:
+        return cells_by_bin(regions, signal, chroms, layout, general, n_samples, tile)
+    n = layout.n_bins(general.bin_size)
+    long = values(regions, signal, chroms, layout, general, n_samples, tile).select("region_id", F.posexplode("values").alias("k", "value"))
+    return long.select("region_id", F.expr(f"CAST(k div {n} AS int)").alias("sample_idx"), F.expr(f"CAST(k % {n} AS int)").alias("bin"), "value")
+
+
+def rows(regions: DataFrame, values_: DataFrame, layout: Layout, general: General) -> DataFrame:
     """regions with window_start, window_end and values (by sample, then bin); one row per region."""
-    values = cells_.groupBy("region_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "bin", "value"))), lambda c: c["value"]).alias("values"))
     planned = with_bins(regions, layout, general).drop("bins", "included", "too_short")
-    return planned.join(values, "region_id")
+    return planned.join(values_, "region_id")
 
 
 def matrix(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int) -> DataFrame:
     """The rows that the filters leave, not yet in order."""
-    return filter_rows(rows(regions, cells(regions, signal, chroms, layout, general, n_samples), layout, general), general)
+    return filter_rows(rows(regions, values(regions, signal, chroms, layout, general, n_samples), layout, general), general)
