@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.chroms import normal_chrom
-from spanloom.operators.intervals import merge, subtract
+from spanloom.operators.intervals import merge, overlap_join, subtract
 from spanloom.options import EmptyGroups
 
 
+#: Width of the tiles on which starts meet the blacklist, whose intervals are some thousand bases long.
+BLACK_TILE = 4096
+
+
 class EmptyResultError(ValueError):
     """No region is left, or a group is empty where it must not be."""
 
@@ -48,19 +52,16 @@ def allowed(black: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def outside_blacklist(regions: DataFrame, black: DataFrame, chroms: DataFrame) -> DataFrame:
-    """regions whose start is on no blacklisted interval.
+    """regions (with region_id) whose start is on no blacklisted interval.
 
     On a chromosome with blacklisted intervals a start past the chromosome's end goes too. Only the
-    start counts. One aggregated row of bounds per chromosome is searched by its sorted array,
-    so that a crowded chromosome needs no pairs.
+    start counts. Starts meet intervals on tiles, so that a crowded chromosome is spread.
     """
-    sizes = chrom_sizes(chroms).withColumnRenamed("norm", "n")
-    bounds = black.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("black"))
-    bounds = bounds.join(sizes, F.col("norm") == F.col("n")).select(F.col("norm").alias("_norm"), "black", "length")
-    joined = regions.withColumn("_own", normal_chrom(F.col("chrom"))).join(bounds, F.col("_own") == F.col("_norm"), "left")
-    hit = F.exists("black", lambda b: (b["start"] <= F.col("start")) & (F.col("start") < b["end"]))
-    kept = F.col("black").isNull() | (~hit & (F.col("start") < F.col("length")))
-    return joined.filter(kept).drop("_own", "_norm", "black", "length")
+    starts = regions.select("region_id", normal_chrom(F.col("chrom")).alias("norm"), F.col("start").alias("l_start"), (F.col("start") + 1).alias("l_end"))
+    covered = overlap_join(starts, black.withColumnsRenamed({"start": "r_start", "end": "r_end"}), "norm", BLACK_TILE).select("region_id")
+    ends = chrom_sizes(chroms).join(black.select("norm").distinct(), "norm")
+    past = starts.join(ends, "norm").filter(F.col("l_start") >= F.col("length")).select("region_id")
+    return regions.join(covered.unionByName(past).distinct(), "region_id", "left_anti").select(*regions.columns)
 
 
 def renumbered(regions: DataFrame, groups: DataFrame, policy: EmptyGroups) -> tuple[DataFrame, DataFrame]:

@@ -37,8 +37,8 @@ def inputs(spark: SparkSession, sf_dir: str, metagene: bool = False) -> tuple[Da
     return found, signal, derived(spark, sf_dir, "chroms")
 
 
-def cell_query(layout: Layout, **general) -> Query:
-    how = General(bin_size=SIZE, **general)
+def cell_query(layout: Layout, size: int = SIZE, **general) -> Query:
+    how = General(bin_size=size, **general)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found, signal, chroms = inputs(spark, sf_dir, how.metagene)
@@ -247,6 +247,7 @@ def _cell_queries() -> dict[str, tuple[Query, str | None]]:
         out[f"refpoint_{name}_mean"] = cell_query(ReferencePoint(anchor, 50, 100)), oracle.query(bins, oracle.runs("mean", False))
         out[f"refpoint_{name}_nan_after_end"] = cell_query(ReferencePoint(anchor, 50, 100, True), missing_as_zero=True), oracle.query(bins, oracle.runs("mean", True, True))
         out[f"metagene_{name}"] = cell_query(ReferencePoint(anchor, 50, 100), metagene=True), oracle.query(oracle.spliced(), oracle.spliced_cells(oracle.spliced_reference(anchor.value, 50, 100, SIZE), 6))
+    out["refpoint_center_fine"] = cell_query(ReferencePoint(Anchor.CENTER, 100, 100), 10), oracle.query(oracle.reference_bins("center", 100, 100, 10), oracle.runs("mean", False))
     bins = oracle.reference_bins("TSS", 50, 100, SIZE)
     for statistic in Statistic:
         for zero in (False, True):

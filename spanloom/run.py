@@ -8,11 +8,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.chroms import normal_chrom
 from spanloom.functions.names import sample_labels
 from spanloom.operators.numbering import kept
 from spanloom.operators.ordering import group_counts, metric, order_columns
 from spanloom.operators.regions import EmptyResultError, blacklist, on_common_chroms, outside_blacklist, renumbered, spelled_like_first
 from spanloom.options import General, GtfNames, Layout
+from spanloom.plans.bins import with_bins
 from spanloom.plans.matrix import matrix
 from spanloom.shipping import ship
 from spanloom.sinks import files
@@ -20,6 +22,9 @@ from spanloom.sources.bed import first_error, parse_bed, read_lines
 from spanloom.sources.bigwig import read_signal
 from spanloom.sources.regions import load_regions
 
+#: Bases by which the windows of regions are told to the readers of signals.
+STRETCH = 1 << 17
+
 
 @dataclass(frozen=True)
 class Files:
@@ -71,14 +76,30 @@ def compute(spark: SparkSession, regions: DataFrame, groups: DataFrame, signal:
     return Result(files.header(layout, general, per_group, samples), rows.orderBy(*order_columns(general.sort_regions)))
 
 
+def window_ranges(regions: DataFrame, layout: Layout, general: General) -> list[tuple[str, int, int]]:
+    """(chromosome, start, end) of the stretches of STRETCH bases that windows touch, neighbours joined.
+
+    Chromosomes end below 2**32, so each gives 2**15 stretches at most.
+    """
+    windows = with_bins(regions.withColumn("norm", normal_chrom(F.col("chrom"))), layout, general).filter("window_start < window_end")
+    at = F.explode(F.sequence(F.floor(F.greatest("window_start", F.lit(0)) / STRETCH), F.floor(F.greatest(F.col("window_end") - 1, F.lit(0)) / STRETCH)))
+    out: list[tuple[str, int, int]] = []
+    for r in windows.select("norm", at.alias("k")).distinct().orderBy("norm", "k").collect():
+        if out and out[-1][0] == r.norm and out[-1][2] == r.k * STRETCH:
+            out[-1] = (r.norm, out[-1][1], (r.k + 1) * STRETCH)
+        else:
+            out.append((r.norm, r.k * STRETCH, (r.k + 1) * STRETCH))
+    return out
+
+
 def run(spark: SparkSession, where: Files, layout: Layout, general: General, names: GtfNames = GtfNames()) -> Result:
     ship(spark)
     layout.counts(general.bin_size)
     labels = sample_labels(where.scores, where.labels)
     regions, groups = load_regions(spark, where.regions, names)
-    signal, chroms = read_signal(spark, where.scores)
+    signal, chroms = read_signal(spark, where.scores, window_ranges(regions, layout, general))
     black = read_blacklist(spark, where.blacklist) if where.blacklist else None
-    out = compute(spark, regions, groups, kept(signal), chroms, labels, layout, general, black)
+    out = compute(spark, regions, groups, signal, chroms, labels, layout, general, black)
     if where.matrix:
         files.write_matrix(where.matrix, out.header, out.rows, general.metagene)
     if where.values:

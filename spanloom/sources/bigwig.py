@@ -3,14 +3,16 @@
 `spark.read.format("bigwig").load(path)` gives (chrom, start, end, value), the full-resolution intervals
 of one file. The driver reads the header, the chromosome tree and the index, and deals the data
 blocks to partitions; filters on chrom, start and end that Spark pushes down leave blocks out by
-the index. Executors read and inflate their own blocks, which needs a path that they can open (a shared mount).
+the index, as does the option `ranges`, a JSON list of (chromosome, start, end). Executors read and inflate their own blocks, which needs a path that they can open (a shared mount).
 Zoom levels and summaries are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from spanloom.functions.chroms import normal_chrom_name
+
 # Fixed values of the format.
 MAGIC, TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 BED_GRAPH, VARIABLE_STEP, FIXED_STEP = 1, 2, 3
@@ -91,9 +95,16 @@ class BigWigFile:
                 else:
                     open_nodes.append(struct.unpack("<Q", rest)[0])
 
-    def blocks(self, ranges: dict[int, tuple[int, int]] | None = None) -> list[Block]:
-        """Data blocks that meet the ranges (chromosome number: start, end), or all; in order of place in the file."""
+    def blocks(self, ranges: list[tuple[int, int, int]] | None = None) -> list[Block]:
+        """Data blocks that meet the ranges (chromosome number, start, end), or all; in order of place in the file."""
         out: list[Block] = []
+        merged: list[tuple[int, int, int]] = []
+        for c, s, e in sorted(ranges or []):
+            if merged and merged[-1][0] == c and s <= merged[-1][2]:
+                merged[-1] = (c, merged[-1][1], max(e, merged[-1][2]))
+            else:
+                merged.append((c, s, e))
+        starts = [r[:2] for r in merged]
         with open(self.path, "rb") as f:
             if struct.unpack("<I", self._at(f, self.index_at, 4))[0] != INDEX_MAGIC:
                 raise BigWigError(f"{self.path} has no index")
@@ -103,8 +114,11 @@ class BigWigFile:
                 leaf, _, count = struct.unpack("<BBH", self._at(f, at, 4))
                 item = struct.Struct("<IIIIQQ" if leaf else "<IIIIQ")
                 for entry in item.iter_unpack(self._at(f, at + 4, count * item.size)):
-                    if ranges is not None and not any(entry[:2] < (c, e) and (c, s) < entry[2:4] for c, (s, e) in ranges.items()):
-                        continue
+                    if ranges is not None:
+                        # Of the ranges that begin before the entry ends the last one ends last.
+                        k = bisect_left(starts, entry[2:4])
+                        if not k or (merged[k - 1][0], merged[k - 1][2]) <= entry[:2]:
+                            continue
                     if leaf:
                         out.append(Block(*entry))
                     else:
@@ -168,8 +182,8 @@ class BigWigReader(DataSourceReader):
     #: Deflated bytes for each task.
     RUN_BYTES = 8 << 20
 
-    def __init__(self, path: str, run_bytes: int = RUN_BYTES):
-        self.path, self.run_bytes, self.wanted = path, run_bytes, Wanted()
+    def __init__(self, path: str, run_bytes: int = RUN_BYTES, ranges: list | None = None):
+        self.path, self.run_bytes, self.wanted, self.ranges = path, run_bytes, Wanted(), ranges
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -180,7 +194,12 @@ class BigWigReader(DataSourceReader):
         file = BigWigFile(self.path)
         w, ranges = self.wanted, None
         if w.chroms is not None or w.start_below is not None or w.end_above is not None:
-            ranges = {c.number: (w.end_above if w.end_above is not None else 0, w.start_below if w.start_below is not None else c.length) for c in file.chroms if w.chroms is None or c.name in w.chroms}
+            ranges = [(c.number, w.end_above if w.end_above is not None else 0, w.start_below if w.start_below is not None else c.length) for c in file.chroms if w.chroms is None or c.name in w.chroms]
+        elif self.ranges is not None:
+            numbers: dict[str, list[int]] = {}
+            for c in file.chroms:
+                numbers.setdefault(normal_chrom_name(c.name), []).append(c.number)
+            ranges = [(k, s, e) for name, s, e in self.ranges for k in numbers.get(normal_chrom_name(name), [])]
         runs, size = [BlockRun(0)], 0
         for b in file.blocks(ranges):
             if size and size + b.size > self.run_bytes:
@@ -211,7 +230,7 @@ class BigWigSource(DataSource):
     def reader(self, schema: StructType) -> BigWigReader:
         if "path" not in self.options:
             raise BigWigError("a bigWig source needs a path")
-        return BigWigReader(self.options["path"], int(self.options.get("runBytes", BigWigReader.RUN_BYTES)))
+        return BigWigReader(self.options["path"], int(self.options.get("runBytes", BigWigReader.RUN_BYTES)), json.loads(self.options["ranges"]) if "ranges" in self.options else None)
 
 
 def register(spark: SparkSession) -> None:
@@ -219,12 +238,17 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_signal(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(signal, chroms) of the files, in the order of their samples; a NaN in a file is left out."""
+def read_signal(spark: SparkSession, paths: list[str], ranges: list[tuple[str, int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signal, chroms) of the files, in the order of their samples; a NaN in a file is left out.
+
+    With ranges (chromosome, start, end), blocks that meet none of them are not read.
+    """
     register(spark)
     signal, sizes = None, []
     for k, path in enumerate(paths):
-        part = spark.read.format("bigwig").load(path).withColumn("sample_idx", F.lit(k)).filter(~F.isnan("value"))
+        reader = spark.read.format("bigwig")
+        reader = reader if ranges is None else reader.option("ranges", json.dumps(ranges))
+        part = reader.load(path).withColumn("sample_idx", F.lit(k)).filter(~F.isnan("value"))
         signal = part if signal is None else signal.unionByName(part)
         sizes += [(k, c.name, c.length) for c in BigWigFile(path).chroms]
     if signal is None:
@@ -234,8 +258,6 @@ def read_signal(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
 
 def read_range(spark: SparkSession, path: str, chrom: str, start: int, end: int) -> DataFrame:
     """Intervals of one file that overlap a range; the chromosome may be spelled with or without chr."""
-    from spanloom.functions.chroms import normal_chrom_name
-
     register(spark)
     names = {c.name for c in BigWigFile(path).chroms}
     same = chrom if chrom in names else next((n for n in sorted(names) if normal_chrom_name(n) == normal_chrom_name(chrom)), None)

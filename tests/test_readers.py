@@ -100,7 +100,7 @@ def score_file(tmp_path):
 def test_bigwig(spark, score_file, tmp_path):
     file = BigWigFile(score_file[0])
     assert [(c.name, c.length) for c in file.chroms] == [("chr1", 1000), ("chr2", 2000), ("chrM", 50)]
-    assert len(file.blocks()) == 5 and len(file.blocks({1: (0, 300)})) == 1 and file.blocks({1: (300, 400)}) == []
+    assert len(file.blocks()) == 5 and len(file.blocks([(1, 0, 300)])) == 1 and file.blocks([(1, 300, 400)]) == [] and len(file.blocks([(1, 0, 1), (1, 299, 300), (0, 0, 2**32)])) == 2
     signal, chroms = read_signal(spark, list(score_file))
     expected = [("chr1", 0, 10, 1.5), ("chr1", 20, 30, 2.0), ("chr1", 40, 45, 3.0), ("chr2", 100, 104, 1.0), ("chr2", 110, 114, 2.0), ("chr2", 120, 124, 3.0), ("chrM", 7, 9, 4.0)]
     for sample in (0, 1):
@@ -172,3 +172,27 @@ def test_rows_that_filters_take(spark, score_file, tmp_path, capsys):
     bed.write_text("chr9\t10\t30\ta\t7\t+\n#one\nchr2\t100\t130\tb\t0\t+\n")
     assert cli.main([*args, "--sortRegions", "no"]) == 0
     assert read_matrix(spark, str(tmp_path / "m.gz"))[0]["group_labels"] == ["genes"]
+
+
+def test_only_blocks_under_windows_are_read(spark, tmp_path):
+    from spanloom.options import Anchor, General, ReferencePoint
+    from spanloom.run import STRETCH, window_ranges
+    from spanloom.sinks.bigwig import write_bigwig
+    from spanloom.sources.bigwig import BigWigFile, BigWigReader, read_signal
+
+    n, path = 400_000, f"{tmp_path}/long.bw"
+    signal = spark.range(n).selectExpr("'chr1' AS chrom", "id * 10 AS start", "id * 10 + 10 AS end", "id AS value")
+    write_bigwig(path, {"chr1": 10 * n, "chr2": 5}, signal)
+    file = BigWigFile(path)
+    every = file.blocks()
+    assert [(c.name, c.length) for c in file.chroms] == [("chr1", 10 * n), ("chr2", 5)] and len(every) == -(-n // 1024)
+    assert read_signal(spark, [path])[0].count() == n
+    regions = spark.createDataFrame([("1", 50, 60, "+", None), ("1", 2_000_000, 2_000_900, "-", None), ("3", 0, 9, "+", None)], "chrom string, start long, end long, strand string, exons array<struct<start:long,end:long>>")
+    ranges = window_ranges(regions, ReferencePoint(Anchor.TSS, 100, 100), General(bin_size=10))
+    k = 2_000_900 // STRETCH
+    assert ranges == [("1", 0, STRETCH), ("1", k * STRETCH, (k + 1) * STRETCH), ("3", 0, STRETCH)]
+    runs = BigWigReader(path, 1 << 20, ranges).partitions()
+    wanted = [b for b in every if any(b.start < e and s < b.end for c, s, e in ranges if c == "1")]
+    assert [b for r in runs for b in r.blocks] == wanted and len(wanted) < len(every) / 5
+    found, _ = read_signal(spark, [path], ranges)
+    assert found.filter("start < 300 AND end > 0").count() == 30 and found.count() < n / 5
