@@ -13,7 +13,7 @@ from spanloom import cli
 from spanloom.functions.formatting import matrix_value, plain_value, score_value
 from spanloom.functions.names import sample_label, unique_labels, with_unique_names
 from spanloom.options import GtfNames
-from spanloom.sources.bed import RegionFileError, assign_groups, parse_bed
+from spanloom.sources.bed import RegionFileError, assign_groups, parse_bed, read_bed
 from spanloom.sources.bigwig import BigWigError, BigWigFile, read_range, read_signal
 from spanloom.sources.gtf import transcripts
 from spanloom.sources.matrix_file import read_matrix
@@ -196,3 +196,26 @@ def test_only_blocks_under_windows_are_read(spark, tmp_path):
     assert [b for r in runs for b in r.blocks] == wanted and len(wanted) < len(every) / 5
     found, _ = read_signal(spark, [path], ranges)
     assert found.filter("start < 300 AND end > 0").count() == 30 and found.count() < n / 5
+
+
+def test_number_of_a_bad_line_in_a_later_split(spark, tmp_path):
+    path = tmp_path / "long.bed"
+    lines = [f"chr1\t{k}\t{k + 5}" for k in range(4000)]
+    lines[3500] = "chr1\tx\t9"
+    path.write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        with pytest.raises(RegionFileError, match="line 3501: "):
+            read_bed(spark, str(path), "genes")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_groups_of_many_headers(spark):
+    rows = [(k, f"#g{k}" if k % 3 == 2 else f"chr1\t{k}\t{k + 1}") for k in range(200)]
+    records, headers = assign_groups(spark.createDataFrame(rows, "line_no long, line string"), "genes")
+    assert len(headers) == 66
+    for r in records.collect():
+        own = next((h for h in headers if h[0] > r.line_no), None)
+        assert r.segment == sum(h[0] < r.line_no for h in headers) and r.label == (own[1] if own else "genes")
