@@ -22,7 +22,7 @@ from spanloom.sources.bigwig import local_path, read_range, read_signal
 from spanloom.sources.gtf import transcripts
 from spanloom.sources.matrix_file import read_matrix
 from spanloom.sources.regions import load_regions
-from spanloom.tables import derived, load, sql
+from spanloom.tables import derived, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 SAMPLES = 3

@@ -100,3 +100,18 @@ def test_options_are_checked():
         ScaleRegions(body=0, unscaled_5=10).counts(10)
     with pytest.raises(OptionError):
         General(sort_using_samples=(3,)).sort_samples(2)
+
+
+def test_no_folder_of_ones_own_on_a_cluster():
+    from types import SimpleNamespace
+
+    from spanloom.operators.numbering import shared_folder
+
+    def session(master: str, named: str | None):
+        conf = SimpleNamespace(get=lambda key, default=None: named)
+        context = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda key: None), getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert shared_folder(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://host:7077", None))
