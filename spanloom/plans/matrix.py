@@ -27,6 +27,8 @@ from spanloom.plans.bins import with_bins
 
 #: Width of the tiles on which windows meet the signal; some times the usual window.
 WINDOW_TILE = 1024
+#: Bases of a window, over all samples, of which ten thousand rows make a batch; bases of the windows of one partition.
+SHORT, PART_BASES = 1 << 13, 1 << 25
 
 
 def clean_signal(signal: DataFrame) -> DataFrame:
@@ -78,13 +80,13 @@ def cells_by_bin(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layou
     return folded.select("region_id", "sample_idx", "bin", value.alias("value"))
 
 
-def values_by_window(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int | None = None) -> DataFrame:
+def values_by_window(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int | None = None, parts: int | None = None) -> DataFrame:
     """(region_id, values) of regions without blocks, by a join of windows and signal."""
     masks = isinstance(layout, ReferencePoint) and layout.nan_after_end
-    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = regions.select("region_id", "chrom", "start", "end", "strand", "exons").repartition(parts, "region_id")
     planned = with_bins(dealt.withColumn("norm", normal_chrom(F.col("chrom"))), layout, general)
-    # The few chromosomes of a short window or interval make one or two tiles; a long one makes as many as it covers.
+    # A short window or interval lies on one or two tiles, a long one on as many as it covers.
     windows = with_bins(regions.withColumn("norm", normal_chrom(F.col("chrom"))), layout, general).select("region_id", "norm", F.col("window_start").alias("l_start"), F.col("window_end").alias("l_end"))
     met = overlap_join(windows, clean_signal(signal), "norm", tile or WINDOW_TILE)
     hits = met.groupBy("region_id").agg(F.collect_list(F.struct("sample_idx", "r_start", "r_end", "x")).alias("hits"))
@@ -107,14 +109,18 @@ def values(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Lay
     inputs = (signal, chroms, layout, general, n_samples, tile)
     if general.metagene:
         return _folded(cells_by_bin(regions, *inputs))
-    if isinstance(layout, ReferencePoint):
-        return values_by_window(regions, *inputs)
-    length = F.col("end") - F.col("start") + layout.upstream + layout.downstream
-    most = MOST_HITS // max(1, n_samples)
-    if (regions.agg(F.max(length)).first()[0] or 0) <= most:
+    around = layout.upstream + layout.downstream
+    fixed = isinstance(layout, ReferencePoint)
+    if fixed and around * n_samples <= SHORT:
         return values_by_window(regions, *inputs)
-    fits = F.coalesce(length <= most, F.lit(True))
-    return values_by_window(regions.filter(fits), *inputs).unionByName(_folded(cells_by_bin(regions.filter(~fits), *inputs)))
+    length = F.lit(around) if fixed else F.greatest(F.col("end") - F.col("start"), F.lit(0)) + around
+    most, fits = MOST_HITS // max(1, n_samples), length <= MOST_HITS // max(1, n_samples)
+    longest, total = regions.agg(F.max(length), F.sum(F.when(fits, length))).first()
+    # A partition, and so an Arrow batch, holds a bounded number of bases.
+    parts = max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (total or 0) * n_samples // PART_BASES)
+    if (longest or 0) <= most:
+        return values_by_window(regions, *inputs, parts)
+    return values_by_window(regions.filter(fits), *inputs, parts).unionByName(_folded(cells_by_bin(regions.filter(~fits), *inputs)))
 
 
 def cells(regions: DataFrame, signal: DataFrame, chroms: DataFrame, layout: Layout, general: General, n_samples: int, tile: int | None = None) -> DataFrame:

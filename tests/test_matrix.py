@@ -115,3 +115,25 @@ def test_no_folder_of_ones_own_on_a_cluster():
     assert shared_folder(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
     with pytest.raises(RuntimeError):
         shared_folder(session("spark://host:7077", None))
+
+
+def test_long_windows_take_the_other_path(spark, monkeypatch):
+    """Regions too long for one array, many partitions, and windows of any length give the same cells."""
+    from spanloom.plans import matrix as plan
+
+    rng = random.Random(8)
+    regions = spark.createDataFrame([(k, 0, "1", s := rng.randrange(3000), s + rng.choice([5, 80, 400, 900]), rng.choice("+-"), None) for k in range(40)], "region_id long, group_idx int, chrom string, start long, end long, strand string, exons array<struct<start:long,end:long>>")
+    signal = spark.createDataFrame([(k % 2, "1", k * 7, k * 7 + 5, float(k % 50)) for k in range(600)], "sample_idx int, chrom string, start long, end long, value double")
+    chroms = spark.createDataFrame([(0, "1", 5000), (1, "1", 5000)], "sample_idx int, chrom string, length long")
+    general = General(bin_size=10)
+    for layout in (ScaleRegions(body=100, upstream=50), ReferencePoint(Anchor.TSS, 100, 200)):
+        run = lambda: sorted(map(tuple, cells(regions, signal, chroms, layout, general, 2).collect()))  # noqa: E731, B023
+        expected = sorted(map(tuple, plan.cells_by_bin(regions, signal, chroms, layout, general, 2).collect()))
+        near = lambda a: [(*r[:3], None if r[3] is None else round(r[3], 9)) for r in a]
+        assert near(run()) == near(expected)
+        with monkeypatch.context() as m:
+            m.setattr(plan, "SHORT", 0)
+            m.setattr(plan, "PART_BASES", 1 << 11)
+            assert near(run()) == near(expected)
+            m.setattr(plan, "MOST_HITS", 600)
+            assert near(run()) == near(expected)
